@@ -119,7 +119,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = 16384, seed: int
         .sortWithinPartitions("_deal", "doc_id", "start", "ids_crc32", "length")
         .drop("_deal")
     )
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = pieces.select(*names).schema.add("sequence_id", "long").add("offset", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40

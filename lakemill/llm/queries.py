@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name and the module that holds it, with ``query(spark, sf_dir)`` and, where SQL can express it, ``ORACLE``.
 MODULES = {
     "op1_packing": "op1_packing",
+    "op2_language_id": "op2_language_id",
+    "op3_toxicity": "op3_toxicity",
+    "op6_simhash": "op6_simhash",
     "op7_quality_rules": "op7_quality_rules",
+    "op9_quality_classifier": "op9_quality_classifier",
 }
 
 
