@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lakemill.llm.common import slices
 
 #: Words kept by a worker's tokenizer cache before it starts again.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -54,7 +54,9 @@ def best_first_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 class WordIds(dict):
     """Token ids of words between ASCII white space, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins across white space, so the ids of a text are those of its words in a row.
+    The tokenizer never joins across white space, so the ids of a text are those of its words in a row. It lower-cases,
+    and a lone full stop or comma after a letter or digit is a token of its own, so words that differ in case or
+    end in one of these are made from the plain word's ids.
     """
 
     def __init__(self, path: str):
@@ -65,7 +67,12 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if b"<|" not in word and (lowered := word.lower()) != word:
+            ids = self[lowered]
+        elif word[-1:] in (b".", b",") and word[:-1].decode()[-1:].isalnum():
+            ids = self[word[:-1]] + self[word[-1:]]
+        else:
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids
         return ids
 
