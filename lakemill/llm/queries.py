@@ -12,6 +12,7 @@ MODULES = {
     "op1_packing": "op1_packing",
     "op2_language_id": "op2_language_id",
     "op3_toxicity": "op3_toxicity",
+    "op4_suffix_dedup": "op4_suffix_dedup",
     "op6_simhash": "op6_simhash",
     "op7_quality_rules": "op7_quality_rules",
     "op9_quality_classifier": "op9_quality_classifier",
