@@ -15,6 +15,7 @@ MODULES = {
     "op4_suffix_dedup": "op4_suffix_dedup",
     "op6_simhash": "op6_simhash",
     "op7_quality_rules": "op7_quality_rules",
+    "op8_fingerprints": "op8_fingerprints",
     "op9_quality_classifier": "op9_quality_classifier",
 }
 
