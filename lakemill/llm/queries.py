@@ -13,10 +13,12 @@ MODULES = {
     "op2_language_id": "op2_language_id",
     "op3_toxicity": "op3_toxicity",
     "op4_suffix_dedup": "op4_suffix_dedup",
+    "op5_sharding": "op5_sharding",
     "op6_simhash": "op6_simhash",
     "op7_quality_rules": "op7_quality_rules",
     "op8_fingerprints": "op8_fingerprints",
     "op9_quality_classifier": "op9_quality_classifier",
+    "op10_mixing": "op10_mixing",
 }
 
 
