@@ -25,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
+import pyspark.sql.types as T
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lakemill.llm.common import durable, forget, partitions, slices
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 60_000
 #: Symbols that one suffix array holds, unless a single core has more.
 ARRAY_SYMBOLS = 1 << 20
@@ -40,7 +42,7 @@ ARRAY_SYMBOLS = 1 << 20
 MOST_OF_CORE = 4096
 NULL_ID = -(2**63)
 
-BLOCKS = "block long, ids binary, sizes binary, text binary"
+BLOCKS = "block long, ids binary, sizes binary, text binary, rest binary"
 REQUESTS = "bucket int, block long, docs binary, runs binary"
 REPLIES = "bucket int, block long, codes binary"
 FOUND = "block long, spans binary, core long, doc_id long, doc int, at int, bytes binary"
@@ -74,16 +76,23 @@ class Runs:
         n = len(data)
         up, down = _powers(n + 1)
         self.sums = np.zeros(n + 1, "u8")
-        np.cumsum((data.astype("u8") + U(1)) * down[:n], out=self.sums[1:])
+        terms = data.astype("u8")
+        terms += U(1)
+        terms *= down[:n]
+        np.cumsum(terms, out=self.sums[1:])
+        del terms
         self.up = up
         if n < length:
             self.p = self.a = self.b = self.doc = np.zeros(0, "i8")
             self.anchor = self.run = np.zeros(0, "u8")
             return
         doc = np.repeat(np.arange(len(sizes), dtype="i4"), sizes)
-        h = _mix((self.sums[k:] - self.sums[:-k]) * up[: n - k + 1])
+        h = self.sums[k:] - self.sums[:-k]
+        h *= up[: n - k + 1]
+        h = _mix(h)
         # Order by the hash's high half; of equal ones the leftmost. Both ends of an equal window choose alike.
-        least = (h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype="u8")
+        least = h & U(0xFFFFFFFF00000000)
+        least |= np.arange(len(h), dtype="u8")
         width, at = length - k + 1, 1
         while 2 * at <= width:
             least = np.minimum(least[:-at], least[at:])
@@ -92,6 +101,7 @@ class Runs:
             least = np.minimum(least[: at - width], least[width - at :])
         start = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
         at_p, at_doc = (least[start] & U(0xFFFFFFFF)).astype("i8"), doc[start]
+        del least, doc
         head = np.ones(len(start), bool)
         head[1:] = (at_p[1:] != at_p[:-1]) | (at_doc[1:] != at_doc[:-1])
         last = np.concatenate([head[1:], np.ones(1, bool)]) if len(head) else head
@@ -137,32 +147,44 @@ def _unzip(x: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype)
 
 
-def make_blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Blocks of whole documents in order of their id. Null texts are empty; null ids count as the smallest."""
+def make_blocks(docs: DataFrame, doc_id: str, text: str, carry: list[str]) -> DataFrame:
+    """Blocks of whole documents in order of their id. Null texts are empty; null ids count as the smallest.
+    ``carry``: columns whose values go along untouched, as an Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         held: list[tuple[int, bytes]] = []
+        rest: list[pa.RecordBatch] = []
         total = 0
 
         def block() -> pa.RecordBatch:
-            held.sort()
-            raw = [x for _, x in held]
-            row = [[number], [_zip(np.array([i for i, _ in held], "i8"))], [_zip(np.array([len(x) for x in raw], "i8"))], [zstandard.ZstdCompressor(level=3).compress(b"".join(raw))]]
-            return pa.record_batch([pa.array(v, t) for v, t in zip(row, [pa.int64()] + [pa.binary()] * 3, strict=True)], names=["block", "ids", "sizes", "text"])
-
-        for part in slices(batches, "text"):
-            for i, x in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+            order = sorted(range(len(held)), key=lambda i: held[i])
+            raw = [held[i][1] for i in order]
+            other = b""
+            if carry:
+                sink = pa.BufferOutputStream()
+                table = pa.Table.from_batches(rest).take(order)
+                with pa.ipc.new_stream(sink, table.schema) as writer:
+                    writer.write_table(table)
+                other = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+            row = [[number], [_zip(np.array([held[i][0] for i in order], "i8"))], [_zip(np.array([len(x) for x in raw], "i8"))], [zstandard.ZstdCompressor(level=3).compress(b"".join(raw))], [other]]
+            return pa.record_batch([pa.array(v, t) for v, t in zip(row, [pa.int64()] + [pa.binary()] * 4, strict=True)], names=["block", "ids", "sizes", "text", "rest"])
+
+        for part in slices(batches, "_text"):
+            begin = 0
+            for k, (i, x) in enumerate(zip(part.column("_id").to_pylist(), part.column("_text").to_pylist(), strict=True)):
                 raw = (x or "").encode("utf-8", "surrogatepass")
                 if held and (total + len(raw) > BLOCK_BYTES or len(held) >= BLOCK_ROWS):
+                    rest.append(part.select(carry).slice(begin, k - begin))
                     yield block()
-                    number, held, total = number + 1, [], 0
+                    number, held, rest, total, begin = number + 1, [], [], 0, k
                 held.append((NULL_ID if i is None else i, raw))
                 total += len(raw)
+            rest.append(part.select(carry).slice(begin))
         if held:
             yield block()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, BLOCKS)
+    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), *carry).mapInArrow(run, BLOCKS)
 
 
 def _opened(row: dict, length: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, Runs | None]:
@@ -235,7 +257,7 @@ def replies(asked: DataFrame, buckets: int) -> DataFrame:
 def _joined(blocks: DataFrame, side: DataFrame, columns: list[str]) -> DataFrame:
     """Each block with all its rows of ``side`` as one array, empty where it has none."""
     grouped = side.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("found"))
-    return blocks.join(grouped, "block", "left")
+    return blocks.select(*blocks.columns).join(grouped, "block", "left")
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
@@ -445,8 +467,12 @@ def compare_windows(runs: DataFrame, length: int) -> DataFrame:
     return again.select("block", "doc", "at").mapInArrow(run, "block long, spans binary")
 
 
-def removal(blocks: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
-    schema = REMOVED + (", kept_text binary" if with_text else "")
+def removal(blocks: DataFrame, spans: DataFrame, carried: T.StructType | None) -> DataFrame:
+    """The result rows; with ``carried``, the type of the columns that the blocks carry, those columns and the kept text."""
+    results = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    schema: T.StructType | str = REMOVED
+    if carried is not None:
+        schema = T.StructType([*carried.fields, T.StructField("kept_text", T.StringType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -459,31 +485,44 @@ def removal(blocks: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                     np.add.at(change, starts[doc] + start, 1)
                     np.add.at(change, starts[doc] + end, -1)
                 gone = np.cumsum(change[:-1]) > 0
-                raw, out = data.tobytes(), []
-                for i, s, n in zip(ids.tolist(), starts.tolist(), sizes.tolist(), strict=True):
-                    cut = gone[s : s + n]
-                    kept = data[s : s + n][~cut].tobytes() if cut.any() else raw[s : s + n]
-                    n_spans = int(n > 0 and cut[0]) + int(np.count_nonzero(cut[1:] & ~cut[:-1]))
-                    out.append((i if i != NULL_ID else None, n, n - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept))
-                for j in range(0, len(out), 2000):
-                    columns = list(zip(*out[j : j + 2000], strict=True))[: 6 if with_text else 5]
-                    types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=False)], schema=pa.schema(list(zip([f.split()[0] for f in schema.split(", ")], types, strict=False))))
+                raw = data.tobytes()
+                other = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["rest"])).read_all() if carried is not None else None
+                for at in range(0, len(ids), 2000):
+                    out = []
+                    for i, s, n in zip(ids[at : at + 2000].tolist(), starts[at : at + 2000].tolist(), sizes[at : at + 2000].tolist(), strict=True):
+                        cut = gone[s : s + n]
+                        kept = data[s : s + n][~cut].tobytes() if cut.any() else raw[s : s + n]
+                        if carried is not None:
+                            out.append((kept.decode("utf-8", "ignore"), n - len(kept)))
+                            continue
+                        n_spans = int(n > 0 and cut[0]) + int(np.count_nonzero(cut[1:] & ~cut[:-1]))
+                        out.append((i if i != NULL_ID else None, n, n - len(kept), n_spans, hashlib.sha256(kept).hexdigest()))
+                    columns = list(zip(*out, strict=True))
+                    if carried is None:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)], names=results)
+                    else:
+                        part = other.slice(at, 2000).combine_chunks()
+                        arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns]
+                        arrays = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in arrays]
+                        yield pa.record_batch([*arrays, pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], names=[*part.column_names, "kept_text", "n_removed"])
 
     return _joined(blocks, spans, ["spans"]).mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", keep_columns: bool = False) -> DataFrame:
     """Drop each byte covered by a ``length``-byte string that also starts earlier in the corpus.
 
     Earlier: in a document of smaller id, or further left in the same one. Strings lie within one document and
     are judged on the input, overlaps included. Returns a row for each document: doc_id, n_bytes, n_removed,
-    n_spans (maximal removed runs), kept_sha256, and with ``with_text`` kept_text (bytes: a cut may fall inside
-    a character). Null texts are empty; texts shorter than ``length`` keep all. Rows that share an id (null is
-    one, smaller than all others) are ordered among themselves by where they are stored.
+    n_spans (maximal removed runs) and kept_sha256; with ``keep_columns`` instead all columns of ``docs`` but
+    ``text``, with kept_text and n_removed (replacing such columns): the bytes that stay as text, without those
+    of a character that a cut has split. Null texts are empty; texts shorter than ``length`` keep all. Rows
+    that share an id (null is one, smaller than all others) are ordered among themselves by where they are stored.
     """
     buckets = partitions(docs.sparkSession)
-    blocks = durable(make_blocks(docs, doc_id, text), "blocks", "uncompressed")
+    carry = [c for c in docs.columns if c not in (text, "kept_text", "n_removed")] if keep_columns else []
+    carried = docs.select(*carry).schema if keep_columns else None
+    blocks = durable(make_blocks(docs, doc_id, text, carry), "blocks", "uncompressed")
     answered = durable(replies(requests(blocks, buckets, length), buckets), "answers", "uncompressed")
     found = durable(candidates(blocks, answered, buckets, length), "candidates")
     forget(answered)
@@ -494,7 +533,4 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
         spans = spans.unionByName(compare_windows(runs.join(crowded, "core", "left_semi"), length))
     spans = durable(spans, "spans", "uncompressed")
     forget(found)
-    return removal(blocks, spans, with_text)
-
-
-__all__ = ["remove_repeats", "has_earlier", "suffix_order", "nearest_smaller"]
+    return removal(blocks, spans, carried)
