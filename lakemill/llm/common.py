@@ -44,23 +44,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lakemill/{uuid.uuid4().hex}/{name}"
 
 
+#: Paths that durable() has written and nothing has deleted yet, by session.
+_WRITTEN: dict[int, list[str]] = {}
+
+
 def durable(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write to the shared folder and read back: lineage ends there and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
+    _WRITTEN.setdefault(id(df.sparkSession), []).append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a frame made by durable() once nothing will read them again."""
-    spark = df.sparkSession
-    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def drop_scratch(spark: SparkSession | None = None) -> None:
+    """Delete all that durable() has written for the session: for callers that have written all their results,
+    as a pipeline has between its stages. Frames that still read scratch tables can't be used any more."""
+    spark = spark or SparkSession.getActiveSession()
+    for path in _WRITTEN.pop(id(spark), []):
+        _delete(spark, path)
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
