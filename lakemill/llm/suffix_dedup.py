@@ -32,9 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import durable, forget, partitions, slices
+from lakemill.llm.common import durable, partitions, slices
 
-BLOCK_BYTES = 2 << 20
+#: Bytes of text in a block; compressed, a block stays below what the JVM's collector treats as a humongous object.
+BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 60_000
 #: Symbols that one suffix array holds, unless a single core has more.
 ARRAY_SYMBOLS = 1 << 20
@@ -523,14 +524,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     carry = [c for c in docs.columns if c not in (text, "kept_text", "n_removed")] if keep_columns else []
     carried = docs.select(*carry).schema if keep_columns else None
     blocks = durable(make_blocks(docs, doc_id, text, carry), "blocks", "uncompressed")
-    answered = durable(replies(requests(blocks, buckets, length), buckets), "answers", "uncompressed")
+    answered = replies(requests(blocks, buckets, length), buckets)
     found = durable(candidates(blocks, answered, buckets, length), "candidates")
-    forget(answered)
     runs = found.where("core IS NOT NULL").select("core", "doc_id", "block", "doc", "at", "bytes")
     crowded = durable(runs.groupBy("core").count().where(F.col("count") > MOST_OF_CORE).select("core"), "crowded")
     spans = found.where("core IS NULL").select("block", "spans").unionByName(compare(runs.join(crowded, "core", "left_anti"), length))
     if not crowded.isEmpty():
         spans = spans.unionByName(compare_windows(runs.join(crowded, "core", "left_semi"), length))
-    spans = durable(spans, "spans", "uncompressed")
-    forget(found)
     return removal(blocks, spans, carried)
