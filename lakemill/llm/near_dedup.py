@@ -138,7 +138,7 @@ def duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_i
     own = found.select("doc_id", "text_hash").join(firsts, "text_hash").select("doc_id", "rep")
     reps = found.join(firsts, (found.text_hash == firsts.text_hash) & (found.doc_id == firsts.rep)).select("rep", "fp", "passages", "shingles")
     thin = durable(reps.select("rep", "fp", "passages"), "thin")
-    links = durable(near_links(thin.select("fp").distinct()), "links")
+    links = near_links(thin.select("fp").distinct())
     meet = links.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp"))
     whole = thin.groupBy("fp").agg(F.min("rep").alias("rep"))  # documents of one fingerprint meet under it
     keys = (
@@ -146,10 +146,8 @@ def duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_i
         .unionByName(meet.join(whole, "fp").select("key", "rep"))
         .distinct()
     )
-    dealt = durable(buckets(durable(keys, "keys")), "buckets")
-    pairs = durable(verified(dealt.join(reps.select("rep", "shingles"), "rep"), similarity), "pairs")
-    for old in (dealt, links, thin):
-        forget(old)
+    pairs = durable(verified(buckets(keys).join(reps.select("rep", "shingles"), "rep"), similarity), "pairs")
+    forget(thin)
     roots = components(pairs.unionByName(own.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     forget(pairs)
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
