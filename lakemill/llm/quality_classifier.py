@@ -141,7 +141,7 @@ def train(docs: DataFrame, labelled: DataFrame, label: str = "quality", most: in
 
     Rows with another or null label are no examples. The sample's ids (bounded) are broadcast to find its texts.
     """
-    picked, share = sample_of(labelled, label, most)
+    picked, share, _ = sample_of(labelled, label, most)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(
         F.broadcast(picked.select("doc_id", F.col(label).cast("int").alias("label"))), "doc_id"
     )
