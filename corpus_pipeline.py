@@ -24,6 +24,7 @@ LEAST_SCORE = 0.25
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID accepts: not those without letters, nor those like no language that it knows."""
+    common.prepare(spark)
     common.drop_scratch(spark)
     model = train(docs.where(~held_out(F.col("doc_id"))))
     return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
@@ -31,12 +32,14 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest id, of each class of near duplicates: five-word shingles, similarity 0.8."""
+    common.prepare(spark)
     common.drop_scratch(spark)
     return without_duplicates(docs, shingle=5, similarity=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 100-byte strings that also start earlier; documents of which nothing is left go."""
+    common.prepare(spark)
     common.drop_scratch(spark)
     left = remove_repeats(docs, length=100, keep_columns=True)
     changed = F.col("n_removed") > 0
@@ -47,14 +50,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources as even as they get when none is cut and none is repeated more than 1.25 times, in blocks at these weights."""
+    common.prepare(spark)
     common.drop_scratch(spark)
     return mixed(docs, Mix(entropy=None, most_repeats=1.25, budget=None))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 ids; a row for each piece of a document, as pack_documents() gives them."""
+    common.prepare(spark)
     common.drop_scratch(spark)
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Workers live through all stages, so what packing keeps is memory that the others don't have.
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=300_000)
 
 
 STAGES = [

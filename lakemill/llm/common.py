@@ -34,8 +34,16 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(f"{folder}/{root.name}.zip")
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """What every job here wants of a session: the package on its executors, and Arrow batches of 1,000 rows where
+    the session leaves the default of 10,000, for texts are long rows and batches are held whole on both sides."""
     ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

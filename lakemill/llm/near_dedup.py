@@ -136,8 +136,8 @@ def duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_i
     found = durable(profiles(docs, shingle, doc_id, text).where("doc_id IS NOT NULL"), "profiles", "uncompressed")
     firsts = durable(found.groupBy("text_hash").agg(F.min("doc_id").alias("rep")), "firsts")
     own = found.select("doc_id", "text_hash").join(firsts, "text_hash").select("doc_id", "rep")
-    reps = found.join(firsts, (found.text_hash == firsts.text_hash) & (found.doc_id == firsts.rep)).select("rep", "fp", "passages", "shingles")
-    thin = durable(reps.select("rep", "fp", "passages"), "thin")
+    small = found.select("doc_id", "text_hash", "fp", "passages")
+    thin = durable(small.join(firsts, (small.text_hash == firsts.text_hash) & (small.doc_id == firsts.rep)).select("rep", "fp", "passages"), "thin")
     links = near_links(thin.select("fp").distinct())
     meet = links.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp"))
     whole = thin.groupBy("fp").agg(F.min("rep").alias("rep"))  # documents of one fingerprint meet under it
@@ -146,7 +146,7 @@ def duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_i
         .unionByName(meet.join(whole, "fp").select("key", "rep"))
         .distinct()
     )
-    pairs = durable(verified(buckets(keys).join(reps.select("rep", "shingles"), "rep"), similarity), "pairs")
+    pairs = durable(verified(buckets(keys).join(found.select(F.col("doc_id").alias("rep"), "shingles"), "rep"), similarity), "pairs")
     forget(thin)
     roots = components(pairs.unionByName(own.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     forget(pairs)

@@ -59,13 +59,13 @@ class WordIds(dict):
     end in one of these are made from the plain word's ids.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         if b"<|" not in word and (lowered := word.lower()) != word:
             ids = self[lowered]
@@ -83,23 +83,24 @@ class WordIds(dict):
 _WORD_IDS: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, most: int = CACHE_WORDS) -> WordIds:
     """One cache for each vocabulary file and Python worker."""
     if path not in _WORD_IDS:
         _WORD_IDS[path] = WordIds(path)
+    _WORD_IDS[path].most = most
     return _WORD_IDS[path]
 
 
-def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Tokenize each text, append ``end_id`` and cut the ids at every ``capacity`` of them.
 
     Null and empty texts are the end id alone. Rows are documents: repeated rows give repeated pieces.
-    Returns doc_id, start, length, ids_crc32, doc_tokens.
+    Returns doc_id, start, length, ids_crc32, doc_tokens. ``cache_words`` bounds a worker's tokenizer cache.
     """
     end, step = np.uint32(end_id).astype("<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_ids(tokenizer)
+        cache = word_ids(tokenizer, cache_words)
         for batch in slices(batches, "text"):
             rows: list[tuple] = []
             for key, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -149,9 +150,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = 16384, seed: int
     return dealt.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group: int = 16384) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group: int = 16384, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Tokenize, cut and pack; see cut() and pack() for the edge cases.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; other columns of ``docs`` are ignored.
     """
-    return pack(cut(docs, tokenizer, capacity, end_id), capacity, group)
+    return pack(cut(docs, tokenizer, capacity, end_id, cache_words=cache_words), capacity, group)
