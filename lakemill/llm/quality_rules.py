@@ -48,6 +48,13 @@ def line_fails(line: Column) -> Column:
     return (n_marks * 10 > n_chars) | capitals | navigation | no_punctuation | boilerplate
 
 
+def _fixed(df: DataFrame, names: list[str], drop: list[str]) -> DataFrame:
+    """The columns ``names`` as rows of an inlined array of one struct, ``drop`` left out. A filter on them is then not
+    pushed below, where the optimizer would put in their expressions anew at each use, within lambdas too."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in {*names, *drop}]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
@@ -73,7 +80,8 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.expr("aggregate(_starts, struct(0L AS total, -8 AS last), (acc, i) -> struct(acc.total + least(8, i - acc.last) AS total, i AS last), acc -> acc.total)")
     step = step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     step = step.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    return step.drop("_words", "_hashes", "_windows", "_sorted", "_starts")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return _fixed(step, names, ["_words", "_hashes", "_windows", "_sorted", "_starts"])
 
 
 def clean_lines(docs: DataFrame, text: str = "text", most_lost: float = 0.5) -> DataFrame:
@@ -98,4 +106,4 @@ def clean_lines(docs: DataFrame, text: str = "text", most_lost: float = 0.5) ->
         }
     )
     step = step.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= most_lost * F.col("line_chars")))
-    return step.drop("_lines", "_failed")
+    return _fixed(step, ["n_lines", "n_failed_lines", "line_chars", "lost_chars", "clean_text", "kept"], ["_lines", "_failed"])
