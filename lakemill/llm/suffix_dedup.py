@@ -150,7 +150,8 @@ def _unzip(x: bytes, dtype: str) -> np.ndarray:
 
 def make_blocks(docs: DataFrame, doc_id: str, text: str, carry: list[str]) -> DataFrame:
     """Blocks of whole documents in order of their id. Null texts are empty; null ids count as the smallest.
-    ``carry``: columns whose values go along untouched, as an Arrow stream."""
+    ``carry``: columns whose values go along untouched, as an Arrow stream, under numbers for their names."""
+    names = [f"c{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -176,16 +177,17 @@ def make_blocks(docs: DataFrame, doc_id: str, text: str, carry: list[str]) -> Da
             for k, (i, x) in enumerate(zip(part.column("_id").to_pylist(), part.column("_text").to_pylist(), strict=True)):
                 raw = (x or "").encode("utf-8", "surrogatepass")
                 if held and (total + len(raw) > BLOCK_BYTES or len(held) >= BLOCK_ROWS):
-                    rest.append(part.select(carry).slice(begin, k - begin))
+                    rest.append(part.select(names).slice(begin, k - begin))
                     yield block()
                     number, held, rest, total, begin = number + 1, [], [], 0, k
                 held.append((NULL_ID if i is None else i, raw))
                 total += len(raw)
-            rest.append(part.select(carry).slice(begin))
+            rest.append(part.select(names).slice(begin))
         if held:
             yield block()
 
-    return docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), *carry).mapInArrow(run, BLOCKS)
+    own = [F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")]
+    return docs.select(*own, *(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True))).mapInArrow(run, BLOCKS)
 
 
 def _opened(row: dict, length: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, Runs | None]:
@@ -368,7 +370,7 @@ def nearest_smaller(values: np.ndarray, head: np.ndarray) -> np.ndarray:
     for level in reversed(range(len(tables))):
         w = 1 << level
         fits = at - w + 1 >= begin
-        skip = fits & (tables[level][np.maximum(at, 0)] > values)
+        skip = fits & (tables[level][np.maximum(at, 0)] >= values)
         at = np.where(skip, at - w, at)
     return np.where((at >= begin) & (values[np.maximum(at, 0)] < values), at, -1)
 
@@ -505,7 +507,7 @@ def removal(blocks: DataFrame, spans: DataFrame, carried: T.StructType | None) -
                         part = other.slice(at, 2000).combine_chunks()
                         arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns]
                         arrays = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in arrays]
-                        yield pa.record_batch([*arrays, pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], names=[*part.column_names, "kept_text", "n_removed"])
+                        yield pa.record_batch([*arrays, pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], names=schema.names)
 
     return _joined(blocks, spans, ["spans"]).mapInArrow(run, schema)
 
