@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,7 +134,8 @@ def duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_i
     sequence where there are fewer words). Texts without words, null ones too, are alike. Rows with a null
     doc_id are left out; rows that repeat a doc_id are one document, whose texts share their links.
     """
-    found = durable(profiles(docs, shingle, doc_id, text).where("doc_id IS NOT NULL"), "profiles", "uncompressed")
+    # A function of each row alone: what a lost executor held is computed again from its rows.
+    found = profiles(docs, shingle, doc_id, text).where("doc_id IS NOT NULL").persist(StorageLevel.DISK_ONLY)
     firsts = durable(found.groupBy("text_hash").agg(F.min("doc_id").alias("rep")), "firsts")
     own = found.select("doc_id", "text_hash").join(firsts, "text_hash").select("doc_id", "rep")
     small = found.select("doc_id", "text_hash", "fp", "passages")
@@ -150,6 +152,7 @@ def duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_i
     forget(thin)
     roots = components(pairs.unionByName(own.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     forget(pairs)
+    found.unpersist()
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
 
 
