@@ -17,7 +17,7 @@ from lakemill.storage import Files
 @dataclass
 class Column:
     """``field``: the name in the files, which a rename leaves alone. ``since``: the schema version that added it;
-    rows of older files read as ``default``."""
+    rows of older files read as ``initial``, the default it had then."""
 
     name: str
     type: str
@@ -27,6 +27,7 @@ class Column:
     length: int | None = None
     field: str = ""
     since: int = 0
+    initial: str | None = None
 
 
 @dataclass
@@ -76,7 +77,7 @@ class Table:
     def add(self, column: Column) -> None:
         if any(c.name.lower() == column.name.lower() for c in self.columns):
             raise CatalogError(f"table {self.name} has a column {column.name}")
-        column.field, column.since = f"f{self.next_field}", self.schema_version
+        column.field, column.since, column.initial = f"f{self.next_field}", self.schema_version, column.default
         self.next_field += 1
         self.columns.append(column)
 
@@ -92,14 +93,14 @@ class Table:
         if not files:
             empty = spark.createDataFrame([], self.schema())
             return empty.withColumn("_file", F.lit(None).cast("string")) if with_file else empty
-        late = [c for c in self.columns if c.default is not None]
+        late = [c for c in self.columns if c.initial is not None]
         groups: dict[tuple[str, ...], list[str]] = {}
         for path, version in files:
             groups.setdefault(tuple(c.name for c in late if c.since > version), []).append(path)
         out = None
         for missing, paths in groups.items():
             rows = spark.read.schema(self.stored_schema()).parquet(*paths)
-            columns = [(F.expr(c.default).cast(c.type) if c.name in missing else F.col(c.field)).alias(c.name) for c in self.columns]
+            columns = [(F.expr(c.initial).cast(c.type) if c.name in missing else F.col(c.field)).alias(c.name) for c in self.columns]
             part = rows.select(*columns, *([F.col("_metadata.file_path").alias("_file")] if with_file else []))
             out = part if out is None else out.unionByName(part)
         return out

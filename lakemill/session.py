@@ -147,9 +147,9 @@ class Engine:
         state, words = self.state, {t.name.lower() for t in tokens(sql) if t.kind in ("word", "quoted")}
         for name in words:
             if name in state.tables:
-                state.tables[name].read(self.spark).createOrReplaceTempView(name)
+                state.tables[name].read(self.spark).createOrReplaceTempView(_quoted(name))
             elif name in self.attached:
-                self.attached[name].createOrReplaceTempView(name)
+                self.attached[name].createOrReplaceTempView(_quoted(name))
         return self.spark.sql(to_spark(sql), args=params or None)
 
     def _change(self, kind: str, sql: str) -> Result:
@@ -311,6 +311,10 @@ class Engine:
         return n
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _inlined(sql: str, params: dict[str, Any]) -> str:
     """Parameters as literals, for statements that Spark doesn't parse whole."""
     found, out, at = tokens(sql), [], 0

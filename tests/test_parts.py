@@ -30,7 +30,7 @@ def test_to_spark():
     assert to_spark("SELECT CAST(text AS TEXT), CAST(a AS VARCHAR(3)), CAST(b AS VARCHAR), text AS text") == "SELECT CAST(text AS STRING), CAST(a AS VARCHAR(3)), CAST(b AS STRING), text AS text"
 
 
-def test_types():
+def test_types(spark):
     assert spark_type("varchar", [5]) == ("STRING", 5) and spark_type("NUMERIC", [8, 2]) == ("DECIMAL(8,2)", None)
     assert is_numeric("DECIMAL(8,2)") and is_string("STRING") and is_binary("BINARY") and is_temporal("DATE") and not is_numeric("STRING")
     assert import_schema("a:INTEGER, b:DECIMAL(10,2),c:TEXT").simpleString() == "struct<a:int,b:decimal(10,2),c:string>"
