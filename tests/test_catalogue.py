@@ -22,7 +22,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list:
     def value(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return None
         return v if isinstance(v, (str, bool)) or not hasattr(v, "__float__") else float(v)
 
