@@ -5,12 +5,14 @@ a bit distance that still selects. So besides its whole text's fingerprint a doc
 passages, each of four shingles in a row that begin at one of the least shingle hashes: near copies choose the
 same places, and most are untouched by an edit. Whole texts meet within two bits by the popcount grid join of
 simhash.py, passages where equal. Those that meet are verified exactly by the Jaccard similarity of their
-shingle sets, and the links that stand are followed to classes.
+shingle sets, and the links that stand are followed to classes. Documents of a passage that very many share meet
+by their rarest shingles instead, enough of them that similar ones can't fail to; see prefixes() and crossed().
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ from lakemill.llm.simhash import fingerprint, near_links, shingle_hashes
 
 PASSAGES = 6
 PASSAGE_SHINGLES = 4
-#: Documents that one bucket compares with each other; larger ones are dealt to several, see buckets().
+#: Documents that one bucket compares with each other; for keys with more see buckets(), prefixes() and crossed().
 BUCKET = 1024
+#: Documents with a shingle up to which its rank among a document's shingles is by its hash alone.
+COMMON = 16
 #: Shingles that the matrix product takes at a time.
 COLUMNS = 4096
 
@@ -59,8 +63,8 @@ def buckets(keys: DataFrame) -> DataFrame:
     """(bucket, rep) from (key, rep): the documents of each key that has two or more, ``BUCKET`` or so to a bucket.
 
     A key with more (a passage that many documents share, or very many near copies) is dealt by a hash into as
-    many buckets as it needs, each with the key's smallest document added. Near copies that one such deal
-    separates meet by that document or by their other fingerprints, which shared passages don't share.
+    many buckets as it needs, each with the key's smallest document added. That links most of a large group of
+    near copies; the pairs that it separates are left to prefixes() and crossed().
     """
     counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1")
     spread = keys.join(counts, "key").withColumn("parts", F.ceil(F.col("n") / BUCKET))
@@ -69,6 +73,63 @@ def buckets(keys: DataFrame) -> DataFrame:
     return spread.select("key", "rep", F.explode(parts).alias("part")).select(F.xxhash64("key", "part").alias("bucket"), "rep")
 
 
+def hot(keys: DataFrame) -> DataFrame:
+    """The rows of (key, rep) whose key has more documents than a bucket holds."""
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key"), "key")
+
+
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(key, rep) from (rep, shingles): keys of which any two sets of Jaccard similarity ``least`` or more share one.
+
+    All shingles have one order, rare ones first. Similar sets share at least the share ``least`` of either, so
+    not all that they share can be among the last of one: both have one of it among their first
+    n - ceil(least n) + 1. Sets without shingles, which are alike, have a key of their own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x, "<u4").astype("i8") for x in batch.column("shingles").to_pylist()]
+            reps = np.repeat(batch.column("rep").to_numpy(), [len(x) for x in own])
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, "i8"), *own])), pa.array(reps)], names=["key", "rep"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, reps = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+            for rep, raw, common in zip(*(batch.column(c).to_pylist() for c in ("rep", "shingles", "common")), strict=True):
+                own = np.frombuffer(raw, "<u4").astype("i8")
+                counts = {x["key"]: x["n"] for x in common or []}
+                order = np.lexsort((own, np.array([counts.get(x, 0) for x in own.tolist()], "i8")))
+                # As similar() does, a thousandth less than what ``least`` asks for is enough.
+                keys.append(own[order[: len(own) - int(np.ceil(least * len(own) - 1e-3)) + 1]] if len(own) else np.array([-1], "i8"))
+                reps.append(np.full(len(keys[-1]), rep, "i8"))
+            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(reps))], names=["key", "rep"])
+
+    shingles = sets.select("rep", "shingles").mapInArrow(run, "key long, rep long")
+    counts = shingles.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
+    common = shingles.join(counts, "key").groupBy("rep").agg(F.collect_set(F.struct("key", "n")).alias("common"))
+    return sets.join(common, "rep", "left").select("rep", "shingles", "common").mapInArrow(first, "key long, rep long").distinct()
+
+
+def crossed(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, rep) from the (key, rep) of keys with more documents than a bucket holds: block against block, so
+    that every two documents of a key meet, but for those that ``roots`` (node, root) has in the key's largest class.
+
+    Few keys come here: a shingle is among the first of a set that has only common ones, and sets that differ in
+    less are near copies. Where they aren't, the comparisons grow with the square of the documents outside that class.
+    """
+    rows = keys.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    classes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = classes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    half = BUCKET / 2
+    inner, outer = F.ceil(F.col("top.n") / half), F.ceil((F.col("all") - F.col("top.n")) / half)
+    dealt = rows.join(largest.select("key", F.col("top.root").alias("main"), inner.alias("inner"), outer.alias("outer")).where("outer > 0"), "key")
+    dealt = dealt.withColumn("inside", F.col("root") == F.col("main"))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))) + F.when(F.col("inside"), F.col("outer")).otherwise(F.lit(0))
+    last = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    met = dealt.withColumn("own", own).select("key", "rep", "own", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    return met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "rep")
+
+
 def similar(sets: list[np.ndarray], least: float) -> np.ndarray:
     """For each set the number of the first set of its class, where sets of Jaccard similarity ``least`` or more
     are linked. Intersections are products of 0/1 rows over the values that two sets or more have: exact."""
@@ -148,10 +209,26 @@ def duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_i
         .unionByName(meet.join(whole, "fp").select("key", "rep"))
         .distinct()
     )
-    pairs = durable(verified(buckets(keys).join(found.select(F.col("doc_id").alias("rep"), "shingles"), "rep"), similarity), "pairs")
-    forget(thin)
-    roots = components(pairs.unionByName(own.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
-    forget(pairs)
+    keys = durable(keys, "keys")
+    sets = found.select(F.col("doc_id").alias("rep"), "shingles")
+    pairs = [durable(verified(buckets(keys).join(sets, "rep"), similarity), "pairs")]
+    crowded = durable(hot(keys).select("rep").distinct().join(sets, "rep"), "crowded")
+    if not crowded.isEmpty():
+        rare = durable(prefixes(crowded, similarity), "prefixes")
+        pairs.append(durable(verified(buckets(rare).join(crowded, "rep"), similarity), "pairs"))
+        left = durable(hot(rare), "left")
+        if not left.isEmpty():
+            known = components(pairs[0].unionByName(pairs[1]))
+            pairs.append(durable(verified(crossed(left, known).join(crowded, "rep"), similarity), "pairs"))
+            forget(known)
+        for x in (rare, left):
+            forget(x)
+    for x in (thin, keys, crowded):
+        forget(x)
+    links = own.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    roots = components(reduce(DataFrame.unionByName, pairs, links))
+    for x in pairs:
+        forget(x)
     found.unpersist()
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id"))
 
