@@ -18,16 +18,13 @@ from lakemill.llm.near_dedup import without_duplicates
 from lakemill.llm.packing import pack_documents
 from lakemill.llm.suffix_dedup import remove_repeats
 
-#: Below this a text is like none of the known languages.
-LEAST_SCORE = 0.25
-
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID accepts: not those without letters, nor those like no language that it knows."""
     common.prepare(spark)
     common.drop_scratch(spark)
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    return predict(docs, model, reject=True).where(F.col("lang_pred") != "und").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,10 @@ SPECTRUM = {2: 4096, 3: 4096, 4: 4096}
 WIDTH = sum(SPECTRUM.values())
 #: Texts in a matrix product.
 BLOCK = 256
+#: Classes of a text's number of n-grams, see familiarity().
+SIZES = WIDTH.bit_length() + 1
+#: A text is like no language below this share of the familiarity that all but a hundredth of the fitted rows reach.
+FAMILIAR = 0.7
 #: ASCII bytes that are no letters become a space; other bytes stay.
 LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -58,11 +62,18 @@ def _normalised(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _size(n: np.ndarray) -> np.ndarray:
+    """Bit length of each number, below ``SIZES``."""
+    return np.minimum(np.ceil(np.log2(n + 1.0)).astype("i8"), SIZES - 1)
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     landmarks: np.ndarray  # packed bits of each landmark's presence row
     weights: np.ndarray  # (landmarks + 1) x languages; the last row is the bias
+    profiles: np.ndarray  # languages x WIDTH: the share of a language's rows that have an n-gram
+    floors: np.ndarray  # by the bit length of a text's number of n-grams: familiarity() below which it is like no language
 
     def kernel(self, rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
         return _normalised(rows) @ landmarks.T
@@ -74,6 +85,19 @@ class LanguageModel:
         k = self.kernel(rows, landmarks)
         return k @ self.weights[:-1] + self.weights[-1]
 
+    def familiarity(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(mean share of a language's rows that have the text's n-grams, at the language where that is most; number of n-grams).
+
+        Unlike the scores, which sum to a constant over the languages, it is low for a text that is like none.
+        """
+        n = rows.sum(1, dtype="i8")
+        return (rows.astype("f4") @ self.profiles.T).max(1, initial=0) / np.maximum(n, 1), n
+
+    def unknown(self, rows: np.ndarray) -> np.ndarray:
+        """Whether a text is less familiar than nearly all that the model was fitted on and that aren't longer."""
+        value, n = self.familiarity(rows)
+        return value < self.floors[_size(n)]
+
 
 def fit(langs: list[str], bits: np.ndarray, landmarks: int = 128, ridge: float = 1e-3) -> LanguageModel:
     """Kernel ridge regression on the Nyström features of ``landmarks`` rows, dealt evenly to the languages.
@@ -83,10 +107,15 @@ def fit(langs: list[str], bits: np.ndarray, landmarks: int = 128, ridge: float =
     languages = sorted(set(langs))
     y = np.array([languages.index(x) for x in langs])
     if not languages:
-        return LanguageModel([], np.zeros((0, WIDTH // 8), "u1"), np.zeros((1, 0), "f4"))
+        return LanguageModel([], np.zeros((0, WIDTH // 8), "u1"), np.zeros((1, 0), "f4"), np.zeros((0, WIDTH), "f4"), np.zeros(SIZES))
     each = -(-landmarks // len(languages))
     chosen = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(languages))])
-    model = LanguageModel(languages, bits[chosen], np.zeros((1, 0), "f4"))
+    profiles = np.stack([sum(np.unpackbits(rows[i : i + BLOCK], axis=1).sum(0, dtype="f4") for i in range(0, len(rows), BLOCK)) / len(rows) for k in range(len(languages)) for rows in [bits[y == k]]])
+    model = LanguageModel(languages, bits[chosen], np.zeros((1, 0), "f4"), profiles, np.zeros(SIZES))
+    value, n = (np.concatenate(x) for x in zip(*(model.familiarity(np.unpackbits(bits[i : i + BLOCK], axis=1)) for i in range(0, len(bits), BLOCK)), strict=True))
+    # The more n-grams a text has, the more rare ones are among them. Where no row is as short, the shortest decide.
+    shortest = _size(n[n > 0]).min(initial=SIZES - 1)
+    model.floors = np.array([FAMILIAR * np.quantile(value[known], 0.01) if (known := (n > 0) & (_size(n) <= max(size, shortest))).any() else 0 for size in range(SIZES)])
     marks = model.unpacked()
     values, vectors = np.linalg.eigh((marks @ marks.T).astype("f8"))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
@@ -132,13 +161,13 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", reject: bool = False) -> DataFrame:
     """Add lang_pred and score to every row, from the whole text alone.
 
     ``und`` with score 0 where the text is null, has no letter, or the model knows no language. Ties go to the
     first language in alphabetical order. The score is the winner's regression value, of which 1 means
     "exactly like its language" and -1 "exactly unlike", brought to 0..1. Existing columns of the two names
-    are replaced; all others stay.
+    are replaced; all others stay. With ``reject``, texts like no language of the model are ``und`` with score 0 too.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
@@ -151,11 +180,13 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
                 xs = [x or "" for x in part.column(text).to_pylist()]
                 pred, score = ["und"] * len(xs), np.zeros(len(xs))
                 if model.languages:
-                    values = model.scores(presence(xs), marks)
+                    rows = presence(xs)
+                    values = model.scores(rows, marks)
+                    unlike = model.unknown(rows) if reject else np.zeros(len(xs), bool)
                     best = values.argmax(1)
                     top = np.clip((values[np.arange(len(xs)), best] + 1) / 2, 0, 1)
                     for j, x in enumerate(xs):
-                        if has_letter(x):
+                        if has_letter(x) and not unlike[j]:
                             pred[j], score[j] = model.languages[best[j]], top[j]
                 yield pa.record_batch([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
 

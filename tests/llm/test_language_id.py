@@ -41,3 +41,25 @@ def test_awkward_rows(documents, clashing, empty):
 def test_one_language(documents):
     model = train(documents.where("lang = 'fr'"))
     assert {r.lang_pred for r in predict(documents, model).collect()} == {"fr", "und"}
+
+
+def test_pipeline_rejects_what_is_like_no_language(spark):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    letters = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 10))) for _ in range(100))
+    strange = [
+        "我们今天去公园散步天气很好大家都很高兴然后回家吃饭看书睡觉" * 3,
+        "Сегодня мы пошли гулять в парк и было очень хорошо потом вернулись домой и читали книги",
+        "ذهبنا اليوم إلى الحديقة وكان الطقس جميلا ثم عدنا إلى البيت وقرأنا الكتب",
+        letters,
+        "".join(rng.choices("0123456789abcdef", k=3000)),
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = spark.createDataFrame([(10**9 + 5 * i + j, x) for i, x in enumerate(strange) for j in range(5)], "doc_id long, text string")
+    kept = corpus_pipeline.languages(spark, docs.unionByName(extra, allowMissingColumns=True), SF)
+    assert kept.where(f"doc_id >= {10**9}").count() == 0
+    blank = sum(not any(c.isalpha() for c in r.text or "") for r in docs.select("text").collect())
+    assert kept.count() == docs.count() - blank
