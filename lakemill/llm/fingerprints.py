@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 
 from lakemill.llm.common import durable, partitions, slices
 
+#: Levels, all of which enter the sketch at every length of text, so that the sketches of any two texts compare the
+#: same kinds of phrases: of about 6, 15, 37 and 90 bytes, and more.
 LEVELS = 5
-#: Levels whose names enter the sketch, each from the text's length on below which it does (None: always): phrases
-#: of about 15, 37 and 90 bytes; and finer ones for texts that have few of those.
-SKETCHED = {0: 64, 1: 400, 2: None, 3: None, 4: None}
 #: Names in a sketch, four bytes each.
 SKETCH = 64
 U = np.uint64
@@ -116,10 +115,8 @@ def sketches(texts: list[str]) -> np.ndarray:
     """
     raw = [x.encode("utf-8", "surrogatepass") for x in texts]
     levels = parse(raw)
-    length = np.array([len(x) for x in texts], "i8")
-    used = [(names, text) if below is None else (names[m], text[m]) for k, below in SKETCHED.items() for names, text in [levels[k]] for m in [length[text] < (below or 0)]]
-    names = np.concatenate([n for n, _ in used]) >> U(32)
-    text = np.concatenate([t for _, t in used]).astype("u8")
+    names = np.concatenate([n for n, _ in levels]) >> U(32)
+    text = np.concatenate([t for _, t in levels]).astype("u8")
     both = np.sort((text << U(32)) | names)
     fresh = np.ones(len(both), bool)
     fresh[1:] = both[1:] != both[:-1]

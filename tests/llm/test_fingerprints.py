@@ -53,6 +53,16 @@ def test_likeness_follows_the_shared_share():
         assert abs(f.likeness(s[:1], s[1:])[0] - share / (2 - share)) < 0.2
 
 
+@pytest.mark.parametrize("length", [64, 400])
+def test_near_copies_of_any_lengths_are_alike(length):
+    """A text and the same with a few characters more, over lengths up to and beyond ``length``."""
+    rng = random.Random(length)
+    for at in range(length - 4, length + 5):
+        base = [" ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(80))[: at - 4] for _ in range(40)]
+        s = f.sketches(base + [x + "tail" for x in base])
+        assert f.likeness(s[:40], s[40:]).mean() > 0.75
+
+
 def test_against_plain_code(documents):
     docs = documents.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
