@@ -46,10 +46,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources as even as they get when none is cut and none is repeated more than 1.25 times, in blocks at these weights."""
+    """Sources at op10's target, an entropy of 0.97, or as even as they get when none is cut and none is repeated more
+    than four times, in blocks at these weights."""
     common.prepare(spark)
     common.drop_scratch(spark)
-    return mixed(docs, Mix(entropy=None, most_repeats=1.25, budget=None))
+    return mixed(docs, Mix(entropy=0.97, most_repeats=4.0, budget=None))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

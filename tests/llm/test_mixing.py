@@ -80,3 +80,13 @@ def test_awkward_rows(documents, clashing, empty):
 def test_repeatable(corpus):
     a, b = (sorted((r.doc_id, r._pass, r._position) for r in draw(corpus, Mix(budget=5000))[0].collect()) for _ in range(2))
     assert a == b
+
+
+def test_pipeline_mixes_to_the_target_of_op10(spark):
+    import corpus_pipeline
+
+    rows = [(i, "word " * 10, "hot" if i < 1000 else f"s{i % 20}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    w = shares(sources(corpus_pipeline.source_weights(spark, docs, "")))
+    entropy = -sum(x * math.log(x) for x in w.values()) / math.log(len(w))
+    assert abs(entropy - 0.97) < 0.005
