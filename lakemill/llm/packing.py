@@ -8,6 +8,9 @@ size bounds the memory of a task whatever the corpus.
 
 from __future__ import annotations
 
+import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -18,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import slices
+from lakemill.llm.common import prepare, slices
 
 #: Words kept by a worker's tokenizer cache before it starts again.
 CACHE_WORDS = 1_000_000
@@ -51,29 +54,66 @@ def best_first_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
+def _steady(c: str) -> bool:
+    """Whether c is a letter that NFC leaves alone and lower-casing makes one letter of the same blocks."""
+    low = c.lower()
+    return c.isalpha() and len(low) == 1 and low.isalpha() and ord(low) < 0x250 and unicodedata.is_normalized("NFC", c) and unicodedata.is_normalized("NFC", low)
+
+
+#: Letters of Latin scripts beyond ASCII that are simple to normalise; words of these and ASCII are cut here.
+LATIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if _steady(c))
+PLAIN = re.compile(f"[!-~{LATIN}]+")
+#: The vocabulary's own rule for cutting a word into pieces, for the letters and digits that PLAIN words have.
+CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z{LATIN}]+|[0-9]|[^A-Za-z0-9{LATIN}]+")
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others by
+    the code points from 256 on, in order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in shown)
+    moved = {b: 256 + i for i, b in enumerate(rest)}
+    return [chr(moved.get(b, b)) for b in range(256)]
+
+
+#: The same for Latin-1 decoded text, as str.translate takes it.
+BYTE_LETTERS = dict(enumerate(byte_letters()))
+
+
 class WordIds(dict):
     """Token ids of words between ASCII white space, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins across white space, so the ids of a text are those of its words in a row. It lower-cases,
-    and a lone full stop or comma after a letter or digit is a token of its own, so words that differ in case or
-    end in one of these are made from the plain word's ids.
+    The tokenizer never joins across white space, so the ids of a text are those of its words in a row. It normalises
+    to NFC, lower-cases, and cuts a word into pieces of letters, single digits and other marks, which are merged one
+    by one. Words of ASCII and simple Latin letters, which NFC leaves alone, are cut here and share the ids of their
+    pieces; the tokenizer itself does all others whole, and those that may hold a special token. Words of more than
+    ``LONGEST`` bytes aren't kept, so the number of words bounds the memory.
     """
 
+    LONGEST = 64
+
     def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        if b"<|" not in word and (lowered := word.lower()) != word:
-            ids = self[lowered]
-        elif word[-1:] in (b".", b",") and word[:-1].decode()[-1:].isalnum():
-            ids = self[word[:-1]] + self[word[-1:]]
+        text = word.decode()
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            pieces = CUT.findall(text.lower())
+            if pieces == [text]:
+                found = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(BYTE_LETTERS))]
+                ids = struct.pack(f"<{len(found)}I", *found)
+            else:
+                ids = b"".join([self[p.encode()] for p in pieces])
         else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(word) <= self.LONGEST:
+            self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
@@ -97,6 +137,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     Null and empty texts are the end id alone. Rows are documents: repeated rows give repeated pieces.
     Returns doc_id, start, length, ids_crc32, doc_tokens. ``cache_words`` bounds a worker's tokenizer cache.
     """
+    prepare(docs.sparkSession)
     end, step = np.uint32(end_id).astype("<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +161,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = 16384, seed: int
     Ties are broken by the piece's position in its group, which the sort fixes; equal rows are interchangeable.
     An empty input gives no rows.
     """
+    prepare(pieces.sparkSession)
     names = pieces.columns
     dealt = (
         pieces.withColumn("_deal", F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"))

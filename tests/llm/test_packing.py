@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -31,6 +32,32 @@ def test_words_give_the_texts_ids(text):
     assert np.frombuffer(ids.of(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def same(ids, texts):
+    want = ids.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    return [x for x, w in zip(texts, want, strict=True) if np.frombuffer(ids.of(x), "<u4").tolist() != w.ids]
+
+
+@pytest.mark.parametrize("end", [".", ",", "'S"])
+def test_every_code_point_before_a_mark(end):
+    points = [*range(0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE0200)]
+    assert same(WordIds(PATH), [f"a{chr(c)}{end}" for c in points]) == []
+
+
+def test_random_strings():
+    """ASCII, Latin letters, combining marks after letters with and without a composed form, letters that change in NFC."""
+    rng = random.Random(1)
+    pool = [chr(i) for i in range(0x20, 0x7F)] * 2 + [chr(i) for i in range(0xC0, 0x370)] + list("éÉßİıſKÅ .,'क़ড়ऱ한한Σς") + list("HhTtJjWwYyIi") * 4
+    texts = ["".join(rng.choices([*pool, "'s", "'LL", "<|endoftext|>", "<|EndOfText|>"], k=rng.randrange(1, 14))) for _ in range(60_000)]
+    assert same(WordIds(PATH), texts) == []
+
+
+def test_cache_is_bounded():
+    ids = WordIds(PATH, most=50)
+    for i in range(500):
+        ids.of(f"w{i}x. {'y' * 100}{i}")
+        assert len(ids) <= 60 and max(map(len, ids)) <= ids.LONGEST
+
+
 def test_pieces_are_whole(documents):
     ids = WordIds(PATH)
     docs = documents.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
