@@ -21,9 +21,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import durable, forget, slices
+from lakemill.llm.common import durable, forget, prepare, slices
 from lakemill.llm.components import components
-from lakemill.llm.simhash import fingerprint, near_links, shingle_hashes
+from lakemill.llm.simhash import fingerprint, near_meetings, shingle_hashes
 
 PASSAGES = 6
 PASSAGE_SHINGLES = 4
@@ -165,11 +165,11 @@ def verified(rows: DataFrame, least: float) -> DataFrame:
         held_bucket, reps, sets = None, [], []
 
         def links() -> pa.RecordBatch:
-            order = sorted(dict(zip(reps, range(len(reps)), strict=True)).items())  # a document may meet itself
-            if len(order) < 2:
+            met = sorted({*zip(reps, sets, strict=True)})  # a document may meet itself, or come with several texts
+            if len(met) < 2:
                 return pa.record_batch([pa.array([], pa.int64())] * 2, names=["a", "b"])
-            ids = np.array([r for r, _ in order], "i8")
-            first = ids[similar([sets[i] for _, i in order], least)]
+            ids = np.array([r for r, _ in met], "i8")
+            first = ids[similar([np.frombuffer(x, "<u4") for _, x in met], least)]
             apart = first != ids
             return pa.record_batch([pa.array(first[apart]), pa.array(ids[apart])], names=["a", "b"])
 
@@ -180,7 +180,7 @@ def verified(rows: DataFrame, least: float) -> DataFrame:
                         yield links()
                     held_bucket, reps, sets = bucket, [], []
                 reps.append(rep)
-                sets.append(np.frombuffer(raw, "<u4"))
+                sets.append(raw)
         if len(reps) > 1:
             yield links()
 
@@ -195,18 +195,17 @@ def duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_i
     sequence where there are fewer words). Texts without words, null ones too, are alike. Rows with a null
     doc_id are left out; rows that repeat a doc_id are one document, whose texts share their links.
     """
+    prepare(docs.sparkSession)
     # A function of each row alone: what a lost executor held is computed again from its rows.
     found = profiles(docs, shingle, doc_id, text).where("doc_id IS NOT NULL").persist(StorageLevel.DISK_ONLY)
     firsts = durable(found.groupBy("text_hash").agg(F.min("doc_id").alias("rep")), "firsts")
     own = found.select("doc_id", "text_hash").join(firsts, "text_hash").select("doc_id", "rep")
     small = found.select("doc_id", "text_hash", "fp", "passages")
     thin = durable(small.join(firsts, (small.text_hash == firsts.text_hash) & (small.doc_id == firsts.rep)).select("rep", "fp", "passages"), "thin")
-    links = near_links(thin.select("fp").distinct())
-    meet = links.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp"))
-    whole = thin.groupBy("fp").agg(F.min("rep").alias("rep"))  # documents of one fingerprint meet under it
+    meet = near_meetings(thin.select("fp").distinct())
     keys = (
         thin.select(F.explode(F.concat("passages", F.array("fp"))).alias("key"), "rep")
-        .unionByName(meet.join(whole, "fp").select("key", "rep"))
+        .unionByName(meet.join(thin.select("fp", "rep"), "fp").select("key", "rep"))
         .distinct()
     )
     keys = durable(keys, "keys")

@@ -56,3 +56,28 @@ def test_many_near_copies_and_texts_without_words(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in duplicates(docs).collect()}
     assert {i: got.get(i, i) for i in want} == want
+
+
+@pytest.mark.parametrize("bucket", [64, 1024, 10**9])
+def test_all_pairs_of_a_large_family_whatever_a_bucket_holds(spark, monkeypatch, bucket):
+    """2,000 pairs of near copies (similarity about 0.97) among 4,000 documents of one template (0.69 across)."""
+    monkeypatch.setattr(near_dedup, "BUCKET", bucket)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    template, rows = [word() for _ in range(200)], []
+    for i in range(2000):
+        mine = [word() for _ in range(42)]
+        rows += [(2 * i, " ".join(template + mine)), (2 * i + 1, " ".join(template + mine[:-2] + [word(), mine[-1]]))]
+    assert 0.6 < len(shingles(rows[0][1]) & shingles(rows[2][1])) / len(shingles(rows[0][1]) | shingles(rows[2][1])) < 0.75
+    got = {r.doc_id: r.class_id for r in duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(4000)}
+
+
+def test_repeated_ids_link_by_each_of_their_texts(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    a, b, c = ([word() for _ in range(150)] for _ in range(3))
+    near = lambda x: " ".join([*x[:-1], word()])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a)), (8, near(b)), (9, " ".join(c)), (10, near(c)), (11, None), (12, "")]
+    got = {r.doc_id: r.class_id for r in duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, 7: 5, 8: 5, 9: 9, 10: 9, 11: 11, 12: 11}
