@@ -6,21 +6,24 @@ hash is the window's anchor, and equal windows have equal anchors at the same pl
 same anchor form a run. The stages:
 
 1. Texts are gathered in blocks and written to the shared folder.
-2. Each block sends the hashes of its distinct runs to buckets by anchor. A bucket sees each run once a block,
-   however many copies there are, and answers for each: it is an equal run's later copy, so all its windows
-   repeat; or it is the first of several different runs around one anchor, so some of its windows may.
-3. Runs of the second kind send their bytes to where the runs with the same core (the bytes common to all the
+2. Each block sends the hashes and places of its distinct runs to buckets by anchor. A bucket sees each run once a
+   block, however many copies there are, and answers for each: it is the later copy of a run, and where the first
+   one is; or it is the first of several different runs around one anchor, so some of its windows may repeat.
+3. Later copies in a row of first copies in a row make a span. Each block sends the bytes of its spans to the blocks
+   that hold the first copies, where the bytes are compared: all windows of an equal span repeat.
+4. Runs of the second kind send their bytes to where the runs with the same core (the bytes common to all the
    run's windows) meet. There a suffix array, cut off at ``length`` symbols, brings equal windows together, and
    the previous and next smaller positions in suffix order tell which have an earlier match.
-4. Each block drops the bytes so covered.
+5. Each block drops the bytes so covered.
 
-Hashes only decide who meets; a suffix array decides what is equal, but for whole runs, whose identity is 80
-bits of two hashes within their bucket.
+Hashes only decide who meets; bytes decide what is equal. Different runs of one hash, of which no case is known, end
+the job with an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import durable, partitions, slices
+from lakemill.llm.common import durable, partitions, prepare, slices
 
 #: Bytes of text in a block; compressed, a block stays below what the JVM's collector treats as a humongous object.
 BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 60_000
+#: Bytes of a block whose windows are hashed at a time. Only a text that is longer has more.
+PART = 4 << 20
 #: Symbols that one suffix array holds, unless a single core has more.
 ARRAY_SYMBOLS = 1 << 20
 #: Runs of one core beyond which its windows meet one by one, by a hash aggregation, instead of in one task.
@@ -44,9 +49,11 @@ MOST_OF_CORE = 4096
 NULL_ID = -(2**63)
 
 BLOCKS = "block long, ids binary, sizes binary, text binary, rest binary"
-REQUESTS = "bucket int, block long, docs binary, runs binary"
-REPLIES = "bucket int, block long, codes binary"
-FOUND = "block long, spans binary, core long, doc_id long, doc int, at int, bytes binary"
+#: Bytes of compressed blocks for each bucket: it then gets about as many bytes of requests, which a task holds at a time.
+BUCKET_BYTES = 16 << 20
+REQUESTS = "bucket int, block long, docs binary, runs binary, places binary"
+REPLIES = "bucket int, block long, codes binary, firsts binary"
+FOUND = "block long, spans binary, core long, doc_id long, doc int, at int, bytes binary, source long"
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -71,48 +78,61 @@ class Runs:
     """The runs of a block: anchor p, first and last window a and b, in bytes of the block; document; hashes."""
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, length: int):
-        k = length // 2
         self.data, self.length = data, length
         self.doc_starts = np.cumsum(sizes) - sizes
+        found = [self._part(at, sizes) for at in range(0, max(len(data) - length + 1, 1), PART)]
+        self.p, self.a, self.b, self.doc, self.anchor, self.run = (np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _part(self, at: int, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The runs of the windows that begin in the ``PART`` bytes from ``at``, so that a very long text doesn't need
+        all of its hashes at once. A run that goes on in the next part is two runs."""
+        length, k = self.length, self.length // 2
+        data = self.data[at : at + PART + length - 1]
         n = len(data)
+        if n < length:
+            return (np.zeros(0, "i8"),) * 4 + (np.zeros(0, "u8"),) * 2
         up, down = _powers(n + 1)
-        self.sums = np.zeros(n + 1, "u8")
+        sums = np.zeros(n + 1, "u8")
         terms = data.astype("u8")
         terms += U(1)
         terms *= down[:n]
-        np.cumsum(terms, out=self.sums[1:])
+        np.cumsum(terms, out=sums[1:])
         del terms
-        self.up = up
-        if n < length:
-            self.p = self.a = self.b = self.doc = np.zeros(0, "i8")
-            self.anchor = self.run = np.zeros(0, "u8")
-            return
-        doc = np.repeat(np.arange(len(sizes), dtype="i4"), sizes)
-        h = self.sums[k:] - self.sums[:-k]
+        first = int(np.searchsorted(self.doc_starts, at, "right")) - 1
+        last = int(np.searchsorted(self.doc_starts, at + n, "left"))
+        ends = np.minimum(self.doc_starts[first:last] + sizes[first:last], at + n)
+        doc = np.repeat(np.arange(first, last, dtype="i4"), np.maximum(ends - np.maximum(self.doc_starts[first:last], at), 0))
+        h = sums[k:] - sums[:-k]
         h *= up[: n - k + 1]
         h = _mix(h)
         # Order by the hash's high half; of equal ones the leftmost. Both ends of an equal window choose alike.
         least = h & U(0xFFFFFFFF00000000)
         least |= np.arange(len(h), dtype="u8")
-        width, at = length - k + 1, 1
-        while 2 * at <= width:
-            least = np.minimum(least[:-at], least[at:])
-            at *= 2
-        if at < width:
-            least = np.minimum(least[: at - width], least[width - at :])
+        width, step = length - k + 1, 1
+        while 2 * step <= width:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        if step < width:
+            least = np.minimum(least[: step - width], least[width - step :])
         start = np.flatnonzero(doc[: n - length + 1] == doc[length - 1 :])
         at_p, at_doc = (least[start] & U(0xFFFFFFFF)).astype("i8"), doc[start]
         del least, doc
         head = np.ones(len(start), bool)
         head[1:] = (at_p[1:] != at_p[:-1]) | (at_doc[1:] != at_doc[:-1])
-        last = np.concatenate([head[1:], np.ones(1, bool)]) if len(head) else head
-        self.p, self.a, self.b, self.doc = at_p[head], start[head], start[last], at_doc[head]
+        tail = np.concatenate([head[1:], np.ones(1, bool)]) if len(head) else head
+        p, a, b = at_p[head], start[head], start[tail]
         # The chosen hashes are small ones; mixed again they are spread evenly.
-        self.anchor = _mix(h[self.p], 0x94D049BB133111EB)
-        self.run = _mix(self.hash(self.a, self.b + length))
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.up[start]
+        run = _mix((sums[b + length] - sums[a]) * up[a])
+        return p + at, a + at, b + at, at_doc[head].astype("i8"), _mix(h[p], 0x94D049BB133111EB), run
+
+    def hash(self, start: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the ``size`` bytes from each start, a few at a time."""
+        up, down = _powers(size + 1)
+        out = np.zeros(len(start), "u8")
+        for i in range(0, len(start), 4096):
+            piece = self.data[start[i : i + 4096, None] + np.arange(size)].astype("u8")
+            out[i : i + 4096] = ((piece + U(1)) * down[:size]).sum(1, dtype="u8")
+        return out
 
     def sent(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(order, bounds, first): the distinct runs by bucket and then place in the block; where each bucket
@@ -206,32 +226,36 @@ def requests(blocks: DataFrame, buckets: int, length: int) -> DataFrame:
             for row in batch.to_pylist():
                 ids, _, _, runs = _opened(row, length)
                 order, bounds, _ = runs.sent(buckets)
-                pairs = np.hstack([_five(runs.anchor[order]), _five(runs.run[order])])
+                pairs = np.hstack([_five(runs.anchor[order]), runs.run[order].astype("<u8").view("u1").reshape(-1, 8)])
                 gaps = np.diff(ids, prepend=0)
-                out = [
-                    (k, row["block"], _zip(np.concatenate([gaps, np.bincount(runs.doc[order[i:j]], minlength=len(ids))])), pairs[i:j].tobytes())
-                    for k, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-                    if j > i
-                ]
-                b, at, docs, data = zip(*out, strict=True) if out else ((), (), (), ())
-                yield _binary((b, pa.int32()), (at, pa.int64()), (docs, pa.binary()), (data, pa.binary()), names=["bucket", "block", "docs", "runs"])
+                out = []
+                for k in np.flatnonzero(np.diff(bounds)).tolist():
+                    part = order[bounds[k] : bounds[k + 1]]
+                    # Documents with runs there: which, their ids' gaps, and how many runs each has.
+                    docs, counts = np.unique(runs.doc[part], return_counts=True)
+                    told = np.concatenate([np.diff(ids[docs], prepend=0), counts])
+                    out.append((k, row["block"], _zip(told), pairs[bounds[k] : bounds[k + 1]].tobytes(), _zip(np.diff(runs.a[part], prepend=0).astype("i4"))))
+                b, at, docs, data, places = zip(*out, strict=True) if out else ((), (), (), (), ())
+                yield _binary((b, pa.int32()), (at, pa.int64()), (docs, pa.binary()), (data, pa.binary()), (places, pa.binary()), names=["bucket", "block", "docs", "runs", "places"])
 
     return blocks.mapInArrow(run, REQUESTS)
 
 
-def answer(rows: list[dict]) -> list[bytes]:
-    """For the rows of one bucket, two bits a run: 1 where an equal run comes earlier, 2 where it is the first of
-    its kind but other kinds share its anchor, else 0. Earlier: by document id, then block, then place."""
-    runs = np.concatenate([np.frombuffer(r["runs"], "u1").reshape(-1, 10) for r in rows])
-    sizes = [len(r["runs"]) // 10 for r in rows]
-    ids, block = [], np.repeat([r["block"] for r in rows], sizes)
+def answer(rows: list[dict]) -> list[tuple[bytes, bytes]]:
+    """For the rows of one bucket: (two bits a run, where the first copies are). 1: an equal run comes earlier; 2: it is
+    the first of its kind but other kinds share its anchor; else 0. For each 1 the block and place of the first copy.
+    Earlier: by document id, then block, then place."""
+    runs = np.concatenate([np.frombuffer(r["runs"], "u1").reshape(-1, 13) for r in rows])
+    sizes = [len(r["runs"]) // 13 for r in rows]
+    block = np.repeat([r["block"] for r in rows], sizes)
+    place = np.concatenate([np.cumsum(_unzip(r["places"], "i4"), dtype="i8") for r in rows])
+    ids = []
     for r in rows:
         gaps, counts = np.split(_unzip(r["docs"], "i8"), 2)
         ids.append(np.repeat(np.cumsum(gaps), counts))
-    order = np.lexsort((block, np.concatenate(ids)))
-    anchor, run = _wide(runs[:, :5]), _wide(runs[:, 5:])
-    key = (anchor << U(24)) | (run >> U(16))
-    order = order[np.argsort(key[order], kind="stable")]
+    order = np.lexsort((place, block, np.concatenate(ids)))
+    anchor, run = _wide(runs[:, :5]), np.ascontiguousarray(runs[:, 5:]).view("<u8").ravel()
+    order = order[np.lexsort((run[order], anchor[order]))]
     anchor, run = anchor[order], run[order]
     group = np.ones(len(order), bool)
     group[1:] = anchor[1:] != anchor[:-1]
@@ -239,22 +263,40 @@ def answer(rows: list[dict]) -> list[bytes]:
     kind[1:] |= run[1:] != run[:-1]
     number = np.cumsum(group) - 1
     several = np.bincount(number, weights=kind)[number] > 1
-    codes = np.zeros(len(order), "u1")
+    first = order[np.flatnonzero(kind)[np.cumsum(kind) - 1]]
+    codes, firsts = np.zeros(len(order), "u1"), np.zeros(len(order), "i8")
     codes[order] = np.where(kind, np.where(several, 2, 0), 1)
-    return [_zip(c) for c in np.split(codes, np.cumsum(sizes)[:-1])]
+    firsts[order] = first
+    out, at = [], 0
+    for n in sizes:
+        own = codes[at : at + n]
+        source = firsts[at : at + n][own == 1]
+        out.append((_zip(own), _zip(np.concatenate([block[source], place[source]]))))
+        at += n
+    return out
 
 
-def replies(asked: DataFrame, buckets: int) -> DataFrame:
+def replies(asked: DataFrame, parts: int) -> DataFrame:
+    """Answers for each bucket. Rows come by bucket, of which a task holds one at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[dict]] = {}
+        held: list[dict] = []
+
+        def told() -> pa.RecordBatch:
+            codes, firsts = zip(*answer(held), strict=True)
+            return _binary(([r["bucket"] for r in held], pa.int32()), ([r["block"] for r in held], pa.int64()), (codes, pa.binary()), (firsts, pa.binary()), names=["bucket", "block", "codes", "firsts"])
+
         for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["bucket"], []).append(row)
-        for bucket, rows in held.items():
-            codes = answer(rows)
-            yield _binary(([bucket] * len(rows), pa.int32()), ([r["block"] for r in rows], pa.int64()), (codes, pa.binary()), names=["bucket", "block", "codes"])
+            for i in range(batch.num_rows):
+                row = {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+                if held and row["bucket"] != held[0]["bucket"]:
+                    yield told()
+                    held = []
+                held.append(row)
+        if held:
+            yield told()
 
-    return asked.repartition(buckets, "bucket").mapInArrow(run, REPLIES)
+    return asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, REPLIES)
 
 
 def _joined(blocks: DataFrame, side: DataFrame, columns: list[str]) -> DataFrame:
@@ -276,13 +318,31 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
     return _zip(np.stack([doc, start, end]).astype("i4"))
 
 
+def _chained(a: np.ndarray, b: np.ndarray, doc: np.ndarray, block: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, source place) of the spans that runs make: runs a..b of one document, in order of place, whose first
+    copies lie in one block at one distance from them, without a gap between."""
+    head = np.ones(len(a), bool)
+    shift = place - a
+    head[1:] = (doc[1:] != doc[:-1]) | (block[1:] != block[:-1]) | (shift[1:] != shift[:-1]) | (a[1:] > b[:-1] + 1)
+    at = np.flatnonzero(head)
+    last = np.concatenate([at[1:], [len(a)]])[: len(at)] - 1
+    return at, b[last], place[at]
+
+
 def candidates(blocks: DataFrame, answered: DataFrame, buckets: int, length: int) -> DataFrame:
-    """What the answers tell: spans of whole repeated runs, a row a block; and rows of runs to compare, by core.
+    """What the answers tell, rows of three kinds: spans of runs that repeat within the block (spans, a row a block);
+    for each block of first copies the spans said to repeat it, with their bytes (source, spans, bytes); and runs to
+    compare, by core.
 
     A run is cut where its windows begin within a quarter of ``length`` before the anchor or further off, so that
     each part has a core of three quarters of ``length`` at a fixed place from the anchor.
     """
     quarter, half = length // 4, length // 2
+    names = [f.split()[0] for f in FOUND.split(", ")]
+
+    def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        types = {"block": pa.int64(), "spans": pa.binary(), "core": pa.int64(), "doc_id": pa.int64(), "doc": pa.int32(), "at": pa.int32(), "bytes": pa.binary(), "source": pa.int64()}
+        return pa.record_batch([columns.get(c, pa.nulls(n, types[c])) for c in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,35 +350,75 @@ def candidates(blocks: DataFrame, answered: DataFrame, buckets: int, length: int
                 ids, _, data, runs = _opened(row, length)
                 order, bounds, first = runs.sent(buckets)
                 codes = np.zeros(len(order), "u1")
+                source, place = np.full(len(runs.p), row["block"]), runs.a[first]
                 for x in row["found"] or []:
-                    codes[bounds[x["bucket"]] : bounds[x["bucket"] + 1]] = _unzip(x["codes"], "u1")
+                    s = slice(bounds[x["bucket"]], bounds[x["bucket"] + 1])
+                    codes[s] = _unzip(x["codes"], "u1")
+                    mine = order[s][codes[s] == 1]
+                    source[mine], place[mine] = np.split(_unzip(x["firsts"], "i8"), 2)
                 code = np.zeros(len(runs.p), "u1")
                 code[order] = codes
                 code[first != np.arange(len(first))] = 1
                 hit = np.flatnonzero(code == 1)
-                base = runs.doc_starts[runs.doc[hit]]
-                yield pa.record_batch(
-                    [pa.array([row["block"]]), pa.array([_spans(runs.doc[hit], runs.a[hit] - base, runs.b[hit] + length - base)], pa.binary()), *(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
-                    names=["block", "spans", "core", "doc_id", "doc", "at", "bytes"],
-                )
+                at, last, begin = _chained(runs.a[hit], runs.b[hit], runs.doc[hit], source[hit], place[hit])
+                doc, start, end, source = runs.doc[hit][at], runs.a[hit][at], last + length, source[hit][at]
+                base, raw = runs.doc_starts[doc], data.tobytes()
+                own = np.flatnonzero(source == row["block"])
+                for s, e, w in zip(start[own].tolist(), end[own].tolist(), begin[own].tolist(), strict=True):
+                    if raw[s:e] != raw[w : w + e - s]:
+                        raise RuntimeError("two different runs have one hash")
+                yield rows(1, block=pa.array([row["block"]]), spans=pa.array([_spans(doc[own], (start - base)[own], (end - base)[own])], pa.binary()))
+                away = np.flatnonzero(source != row["block"])
+                away = away[np.argsort(source[away], kind="stable")]
+                for group in np.split(away, np.flatnonzero(np.diff(source[away])) + 1) if len(away) else []:
+                    told = _zip(np.stack([doc[group], (start - base)[group], (end - base)[group], begin[group]]))
+                    body = zstandard.ZstdCompressor(level=3).compress(b"".join(raw[s:e] for s, e in zip(start[group].tolist(), end[group].tolist(), strict=True)))
+                    yield rows(1, block=pa.array([row["block"]]), spans=pa.array([told], pa.binary()), bytes=pa.array([body], pa.binary()), source=pa.array([int(source[group[0]])]))
                 more = np.flatnonzero(code == 2)
                 p, a, b, doc = runs.p[more], runs.a[more], runs.b[more], runs.doc[more]
                 near, far = b > p - quarter - 1, a < p - quarter
                 start = np.concatenate([np.maximum(a, p - quarter)[near], a[far]])
                 end = np.concatenate([b[near], np.minimum(b, p - quarter - 1)[far]]) + length
-                core = np.concatenate([_mix(runs.hash(p[near], p[near] + length - quarter)), ~_mix(runs.hash(p[far] - quarter - 1, p[far] + length - half))])
+                core = np.concatenate([_mix(runs.hash(p[near], length - quarter)), ~_mix(runs.hash(p[far] - quarter - 1, length - half + quarter + 1))])
                 doc = np.concatenate([doc[near], doc[far]])
-                raw = data.tobytes()
                 for i in range(0, len(doc), 20_000):
                     s = slice(i, i + 20_000)
                     n = len(doc[s])
-                    yield pa.record_batch(
-                        [pa.array(np.full(n, row["block"])), pa.nulls(n, pa.binary()), pa.array(core[s].view("i8")), pa.array(ids[doc[s]]), pa.array(doc[s].astype("i4")), pa.array((start[s] - runs.doc_starts[doc[s]]).astype("i4"))]
-                        + [pa.array([raw[x:y] for x, y in zip(start[s].tolist(), end[s].tolist(), strict=True)], pa.binary())],
-                        names=["block", "spans", "core", "doc_id", "doc", "at", "bytes"],
-                    )
+                    yield rows(
+                        n, block=pa.array(np.full(n, row["block"])), core=pa.array(core[s].view("i8")), doc_id=pa.array(ids[doc[s]]), doc=pa.array(doc[s].astype("i4")),
+                        at=pa.array((start[s] - runs.doc_starts[doc[s]]).astype("i4")), bytes=pa.array([raw[x:y] for x, y in zip(start[s].tolist(), end[s].tolist(), strict=True)], pa.binary()),
+                    )
+
+    return _joined(blocks, answered, ["bucket", "codes", "firsts"]).mapInArrow(run, FOUND)
+
 
-    return _joined(blocks, answered, ["bucket", "codes"]).mapInArrow(run, FOUND)
+def confirmed(blocks: DataFrame, told: DataFrame, parts: int) -> DataFrame:
+    """(block, spans) of the rows (block, source, spans, bytes) of ``told`` once their bytes are found in block ``source``.
+
+    A block comes before all that refers to it, so that a task holds one block and one row of spans at a time,
+    however many blocks repeat what stands there.
+    """
+    texts = blocks.select(F.col("block").alias("source"), F.lit(None).cast("long").alias("block"), F.col("sizes").alias("spans"), F.col("text").alias("bytes"))
+    dealt = texts.unionByName(told.select("source", "block", "spans", "bytes")).repartition(parts, "source").sortWithinPartitions("source", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = b""
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                block, spans, body = (batch.column(c)[i].as_py() for c in ("block", "spans", "bytes"))
+                if block is None:
+                    text = zstandard.ZstdDecompressor().decompress(body, max_output_size=int(_unzip(spans, "i8").sum()) + 1)
+                    continue
+                doc, start, end, begin = _unzip(spans, "i8").reshape(4, -1)
+                size = (end - start).tolist()
+                if b"".join([text[w : w + n] for w, n in zip(begin.tolist(), size, strict=True)]) != zstandard.ZstdDecompressor().decompress(body, max_output_size=sum(size) + 1):
+                    raise RuntimeError("two different runs have one hash")
+                out.append((block, _spans(doc, start, end)))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["block", "spans"])
+
+    return dealt.select("block", "spans", "bytes").mapInArrow(run, "block long, spans binary")
 
 
 def suffix_order(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -487,7 +587,7 @@ def removal(blocks: DataFrame, spans: DataFrame, carried: T.StructType | None) -
                     doc, start, end = _unzip(x["spans"], "i4").reshape(3, -1).astype("i8")
                     np.add.at(change, starts[doc] + start, 1)
                     np.add.at(change, starts[doc] + end, -1)
-                gone = np.cumsum(change[:-1]) > 0
+                gone = np.cumsum(change[:-1], dtype="i4") > 0
                 raw = data.tobytes()
                 other = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["rest"])).read_all() if carried is not None else None
                 for at in range(0, len(ids), 2000):
@@ -522,15 +622,21 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
     of a character that a cut has split. Null texts are empty; texts shorter than ``length`` keep all. Rows
     that share an id (null is one, smaller than all others) are ordered among themselves by where they are stored.
     """
-    buckets = partitions(docs.sparkSession)
+    prepare(docs.sparkSession)
     carry = [c for c in docs.columns if c not in (text, "kept_text", "n_removed")] if keep_columns else []
     carried = docs.select(*carry).schema if keep_columns else None
     blocks = durable(make_blocks(docs, doc_id, text, carry), "blocks", "uncompressed")
+    # A run takes about half as many bytes of requests as its own share of text.
+    total = blocks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = partitions(docs.sparkSession)
+    buckets = max(parts, math.ceil(total / BUCKET_BYTES))
     answered = replies(requests(blocks, buckets, length), buckets)
     found = durable(candidates(blocks, answered, buckets, length), "candidates")
     runs = found.where("core IS NOT NULL").select("core", "doc_id", "block", "doc", "at", "bytes")
     crowded = durable(runs.groupBy("core").count().where(F.col("count") > MOST_OF_CORE).select("core"), "crowded")
-    spans = found.where("core IS NULL").select("block", "spans").unionByName(compare(runs.join(crowded, "core", "left_anti"), length))
+    spans = found.where("core IS NULL AND source IS NULL").select("block", "spans")
+    spans = spans.unionByName(confirmed(blocks, found.where("source IS NOT NULL"), buckets))
+    spans = spans.unionByName(compare(runs.join(crowded, "core", "left_anti"), length))
     if not crowded.isEmpty():
         spans = spans.unionByName(compare_windows(runs.join(crowded, "core", "left_semi"), length))
     return removal(blocks, spans, carried)
