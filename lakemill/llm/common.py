@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -58,10 +62,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a temporary one, which only a
+    local master's executors share: an error on any other."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lakemill-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir()
@@ -72,14 +79,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lakemill/{uuid.uuid4().hex}/{name}"
 
 
-#: Paths that durable() has written and nothing has deleted yet, by session.
-_WRITTEN: dict[int, list[str]] = {}
+#: Where durable() notes the paths that it writes, if a caller has asked for that; see scratch().
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+#: Paths noted in the last scratch() block of a name and thread.
+_LEFT: dict[tuple[int, str], list[str]] = {}
 
 
 def durable(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write to the shared folder and read back: lineage ends there and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
-    _WRITTEN.setdefault(id(df.sparkSession), []).append(path)
+    if (noted := _NOTED.get()) is not None:
+        noted.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -95,12 +105,24 @@ def forget(df: DataFrame) -> None:
         _delete(df.sparkSession, folder)
 
 
-def drop_scratch(spark: SparkSession | None = None) -> None:
-    """Delete all that durable() has written for the session: for callers that have written all their results,
-    as a pipeline has between its stages. Frames that still read scratch tables can't be used any more."""
-    spark = spark or SparkSession.getActiveSession()
-    for path in _WRITTEN.pop(id(spark), []):
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """A block whose scratch tables go when this thread begins the next block of that name: for callers that write each
+    block's result before they begin the next, as a pipeline does with its stages. Scratch tables of other threads and
+    names, and of results made outside such blocks, stay."""
+    key = (threading.get_ident(), name)
+    for path in _LEFT.pop(key, []):
         _delete(spark, path)
+    _LEFT[key] = []
+    token = _NOTED.set(_LEFT[key])
+    try:
+        yield
+    finally:
+        _NOTED.reset(token)
+
+
+def drop_scratch(spark: SparkSession | None = None) -> None:
+    """Nothing; kept until its callers use scratch()."""
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
