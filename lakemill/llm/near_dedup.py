@@ -3,9 +3,9 @@
 Two texts that share four fifths of their five-word shingles differ in about ten of 64 bits, beyond the reach of
 a bit distance that still selects. So besides its whole text's fingerprint a document has fingerprints of a few
 passages, each of four shingles in a row that begin at one of the least shingle hashes: near copies choose the
-same places, and most are untouched by an edit. Whole texts meet within two bits by the popcount grid join of
-simhash.py, passages where equal. Those that meet are verified exactly by the Jaccard similarity of their
-shingle sets, and the links that stand are followed to classes. Documents of a passage that very many share meet
+same places, and most are untouched by an edit. Whole texts within two bits are linked by the popcount grid join of
+simhash.py and meet where links connect them, passages where equal. Those that meet are verified by the Jaccard
+similarity of their shingle sets (hashes of 32 bits), each pair, and the links that stand are followed to classes. Documents of a passage that very many share meet
 by their rarest shingles instead, enough of them that similar ones can't fail to; see prefixes() and crossed().
 """
 
@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from lakemill.llm.common import durable, forget, prepare, slices
 from lakemill.llm.components import components
-from lakemill.llm.simhash import fingerprint, near_meetings, shingle_hashes
+from lakemill.llm.simhash import fingerprint, near_links, shingle_hashes
 
 PASSAGES = 6
 PASSAGE_SHINGLES = 4
 #: Documents that one bucket compares with each other; for keys with more see buckets(), prefixes() and crossed().
 BUCKET = 1024
-#: Documents with a shingle up to which its rank among a document's shingles is by its hash alone.
-COMMON = 16
+#: Bits of a hash cell in which shingles are counted.
+CELL_BITS = 18
 #: Shingles that the matrix product takes at a time.
 COLUMNS = 4096
 
@@ -74,55 +74,72 @@ def buckets(keys: DataFrame) -> DataFrame:
 
 
 def hot(keys: DataFrame) -> DataFrame:
-    """The rows of (key, rep) whose key has more documents than a bucket holds."""
+    """The rows of (key, rep, ...) whose key has more documents than a bucket holds."""
     return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key"), "key")
 
 
-def prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(key, rep) from (rep, shingles): keys of which any two sets of Jaccard similarity ``least`` or more share one.
+def cells_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles * np.uint32(2654435761)) >> np.uint32(32 - CELL_BITS)
 
-    All shingles have one order, rare ones first. Similar sets share at least the share ``least`` of either, so
-    not all that they share can be among the last of one: both have one of it among their first
-    n - ceil(least n) + 1. Sets without shingles, which are alike, have a key of their own.
-    """
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many shingles of ``sets`` (shingles) fall in each of a fixed number of hash cells. A task adds up its own, so
+    that it sends a row a cell at most, and so does the sum to the driver, whatever the number of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << CELL_BITS, "i8")
         for batch in batches:
-            own = [np.frombuffer(x, "<u4").astype("i8") for x in batch.column("shingles").to_pylist()]
-            reps = np.repeat(batch.column("rep").to_numpy(), [len(x) for x in own])
-            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, "i8"), *own])), pa.array(reps)], names=["key", "rep"])
+            for raw in batch.column("shingles").to_pylist():
+                counts += np.bincount(cells_of(np.frombuffer(raw, "<u4")), minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(some), pa.array(counts[some])], names=["cell", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << CELL_BITS, "i8")
+    out[found["cell"].to_numpy("i8")] = found["n"].to_numpy("i8")
+    return out
+
+
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(key, rep, root) from (rep, root, shingles): keys of which any two sets of Jaccard similarity ``least`` or more
+    share one, those left out that only sets of one root have.
+
+    All shingles have one order, those of cells with few shingles first. Similar sets share at least the share ``least``
+    of either, so not all that they share can be among the last of one: both have one of it among their first
+    n - ceil(least n) + 1. Sets without shingles, which are alike, have a key of their own. That holds for any order;
+    this one makes keys that few sets share.
+    """
+    order_of = frequencies(sets)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, reps = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
-            for rep, raw, common in zip(*(batch.column(c).to_pylist() for c in ("rep", "shingles", "common")), strict=True):
-                own = np.frombuffer(raw, "<u4").astype("i8")
-                counts = {x["key"]: x["n"] for x in common or []}
-                order = np.lexsort((own, np.array([counts.get(x, 0) for x in own.tolist()], "i8")))
+            keys = []
+            for raw in batch.column("shingles").to_pylist():
+                own = np.frombuffer(raw, "<u4")
+                order = np.lexsort((own, order_of[cells_of(own)]))
                 # As similar() does, a thousandth less than what ``least`` asks for is enough.
-                keys.append(own[order[: len(own) - int(np.ceil(least * len(own) - 1e-3)) + 1]] if len(own) else np.array([-1], "i8"))
-                reps.append(np.full(len(keys[-1]), rep, "i8"))
-            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(reps))], names=["key", "rep"])
+                keys.append(own[order[: len(own) - int(np.ceil(least * len(own) - 1e-3)) + 1]].astype("i8") if len(own) else np.array([-1], "i8"))
+            sizes = [len(k) for k in keys]
+            rep, root = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("rep", "root"))
+            yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, "i8"), *keys])), pa.array(rep), pa.array(root)], names=["key", "rep", "root"])
 
-    shingles = sets.select("rep", "shingles").mapInArrow(run, "key long, rep long")
-    counts = shingles.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
-    common = shingles.join(counts, "key").groupBy("rep").agg(F.collect_set(F.struct("key", "n")).alias("common"))
-    return sets.join(common, "rep", "left").select("rep", "shingles", "common").mapInArrow(first, "key long, rep long").distinct()
+    rows = durable(sets.select("rep", "root", "shingles").mapInArrow(first, "key long, rep long, root long").distinct(), "prefixes")
+    several = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    return rows.join(several, "key", "left_semi")
 
 
-def crossed(keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, rep) from the (key, rep) of keys with more documents than a bucket holds: block against block, so
-    that every two documents of a key meet, but for those that ``roots`` (node, root) has in the key's largest class.
+def crossed(keys: DataFrame) -> DataFrame:
+    """(bucket, rep) from the (key, rep, root) of keys with more documents than a bucket holds: block against block, so
+    that every two documents of a key meet, but for those of the key's largest root, which are of one class already.
 
     Few keys come here: a shingle is among the first of a set that has only common ones, and sets that differ in
     less are near copies. Where they aren't, the comparisons grow with the square of the documents outside that class.
     """
-    rows = keys.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    classes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    classes = keys.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = classes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
     half = BUCKET / 2
     inner, outer = F.ceil(F.col("top.n") / half), F.ceil((F.col("all") - F.col("top.n")) / half)
-    dealt = rows.join(largest.select("key", F.col("top.root").alias("main"), inner.alias("inner"), outer.alias("outer")).where("outer > 0"), "key")
+    dealt = keys.join(largest.select("key", F.col("top.root").alias("main"), inner.alias("inner"), outer.alias("outer")).where("outer > 0"), "key")
     dealt = dealt.withColumn("inside", F.col("root") == F.col("main"))
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))) + F.when(F.col("inside"), F.col("outer")).otherwise(F.lit(0))
     last = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
@@ -202,27 +219,26 @@ def duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc_i
     own = found.select("doc_id", "text_hash").join(firsts, "text_hash").select("doc_id", "rep")
     small = found.select("doc_id", "text_hash", "fp", "passages")
     thin = durable(small.join(firsts, (small.text_hash == firsts.text_hash) & (small.doc_id == firsts.rep)).select("rep", "fp", "passages"), "thin")
-    meet = near_meetings(thin.select("fp").distinct())
-    keys = (
-        thin.select(F.explode(F.concat("passages", F.array("fp"))).alias("key"), "rep")
-        .unionByName(meet.join(thin.select("fp", "rep"), "fp").select("key", "rep"))
-        .distinct()
-    )
-    keys = durable(keys, "keys")
+    near = components(near_links(thin.select("fp").distinct()))
+    met = thin.join(near, thin.fp == near.node, "left").select(F.coalesce("root", "fp").alias("key"), "rep")
+    keys = durable(thin.select(F.explode("passages").alias("key"), "rep").unionByName(met).distinct(), "keys")
+    forget(near)
     sets = found.select(F.col("doc_id").alias("rep"), "shingles")
     pairs = [durable(verified(buckets(keys).join(sets, "rep"), similarity), "pairs")]
-    crowded = durable(hot(keys).select("rep").distinct().join(sets, "rep"), "crowded")
+    crowded = hot(keys).select("rep").distinct()
     if not crowded.isEmpty():
-        rare = durable(prefixes(crowded, similarity), "prefixes")
-        pairs.append(durable(verified(buckets(rare).join(crowded, "rep"), similarity), "pairs"))
+        known = components(pairs[0])
+        rooted = crowded.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"))
+        crowded = durable(rooted.join(sets, "rep"), "crowded")
+        rare = durable(prefixes(crowded, similarity), "rare")
+        crowded_sets = crowded.select("rep", "shingles")
+        pairs.append(durable(verified(buckets(rare).join(crowded_sets, "rep"), similarity), "pairs"))
         left = durable(hot(rare), "left")
         if not left.isEmpty():
-            known = components(pairs[0].unionByName(pairs[1]))
-            pairs.append(durable(verified(crossed(left, known).join(crowded, "rep"), similarity), "pairs"))
-            forget(known)
-        for x in (rare, left):
+            pairs.append(durable(verified(crossed(left).join(crowded_sets, "rep"), similarity), "pairs"))
+        for x in (known, crowded, rare, left):
             forget(x)
-    for x in (thin, keys, crowded):
+    for x in (thin, keys):
         forget(x)
     links = own.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     roots = components(reduce(DataFrame.unionByName, pairs, links))

@@ -9,6 +9,7 @@ and two vectors within distance two always meet in one of them. What meets is ve
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,30 +22,48 @@ from lakemill.llm.common import durable, forget, prepare, slices
 from lakemill.llm.components import components
 
 SEED = 42
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Hashes that one step of a fingerprint's count takes.
+PART = 1 << 18
 BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1).astype("f8")
 #: Distinct fingerprints of one cell up to which all are compared with each other; larger cells use neighbours().
 ALL_PAIRS = 64
 
 
+def word_lists(data: bytes, most: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The words of a text, of about ``most`` bytes of it at a time; one word may be longer."""
+    at = 0
+    while at < len(data):
+        end = SPACE.search(data, at + most)
+        yield data[at : end.start() if end else len(data)].split()
+        at = end.start() if end else len(data)
+
+
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     """Big-endian XXH64 of each run of ``shingle`` words, or of all words where there are fewer; as rows of 8 bytes."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros((0, 8), "u1")
-    joined = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])
-    spans = zip(starts[:n].tolist(), (ends[-n:] - 1).tolist(), strict=True)
-    digest = xxhash.xxh64_digest
-    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in spans]), "u1").reshape(-1, 8)
+    digest, out, held = xxhash.xxh64_digest, [], []
+    whole = True  # nothing is hashed yet
+    for more in word_lists(text.encode("utf-8", "surrogatepass").lower()):
+        words = held + more
+        if len(words) >= shingle:
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1)
+            n = len(words) - shingle + 1
+            starts = np.concatenate([[0], ends[: n - 1]])
+            out.append(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[-n:] - 1).tolist(), strict=True)]))
+            whole = False
+        held = words[len(words) - shingle + 1 :] if len(words) >= shingle else words
+    if whole and held:
+        out.append(digest(b" ".join(held), SEED))
+    return np.frombuffer(b"".join(out), "u1").reshape(-1, 8)
 
 
 def fingerprint(hashes: np.ndarray) -> bytes:
     """Eight bytes, big-endian: each bit is 1 if it is set in over half the hashes; zero for none."""
     if not len(hashes):
         return bytes(8)
-    counts = np.bincount((hashes + np.arange(0, 2048, 256, dtype="i8")).ravel(), minlength=2048).reshape(8, 256) @ BITS
+    places = np.arange(0, 2048, 256, dtype="i8")
+    counts = sum(np.bincount((hashes[i : i + PART] + places).ravel(), minlength=2048) for i in range(0, len(hashes), PART)).reshape(8, 256) @ BITS
     return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
@@ -64,52 +83,45 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text") ->
     return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add("fp", "long"))
 
 
-def listed(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(value, fingerprint): each fingerprint under itself and its 64 one-bit neighbours, by value; values with one
-    fingerprint are left out. All that are listed under one value are within two bits of each other, and any two within
-    two bits share a value; the number of rows is linear in ``fps``."""
+def neighbours(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect exactly what distances of two or fewer bits connect, a number linear in ``fps``.
+
+    Each fingerprint is listed under itself and its 64 one-bit neighbours. All that are listed under one value
+    are within two bits of each other, and any two within two bits share a value: linking each to the first is enough.
+    """
     masks = np.concatenate([np.zeros(1, "u8"), np.uint64(1) << np.arange(64, dtype="u8")])
     keys = (fps.view("u8")[:, None] ^ masks).ravel()
-    owner = np.repeat(fps, 65)
+    owner = np.repeat(np.arange(len(fps)), 65)
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
-    same = keys[1:] == keys[:-1]
-    several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    return keys[several].view("i8"), owner[several]
-
-
-def neighbours(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect exactly what distances of two or fewer bits connect: each listed fingerprint to the first
-    under its value."""
-    keys, owner = listed(fps)
-    head = np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]])
-    a, b = owner[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(keys) else owner, owner
+    head = np.concatenate([[True], keys[1:] != keys[:-1]])
+    first = owner[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    a, b = fps[first], fps[owner]
     return a[a != b], b[a != b]
 
 
-def linked_in_cells(cells: np.ndarray, fps: np.ndarray, distance: int, crowded=neighbours) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """(pairs, rest) for cells of which equal ones are adjacent: the pairs within ``distance`` of small cells, all of
-    whose fingerprints are compared, and what ``crowded`` gives for each larger cell."""
+def linked_in_cells(cells: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within each cell; equal cells are adjacent. Small cells compare all their fingerprints."""
     head = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
     sizes = np.diff(np.concatenate([head, [len(cells)]]))
     left = np.repeat(sizes, sizes) - (np.arange(len(cells)) - np.repeat(head, sizes))  # rows from here to the cell's end
     small = np.repeat(sizes <= ALL_PAIRS, sizes)
-    out_a, out_b = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+    out_a, out_b = [], []
     for step in range(1, min(int(sizes.max(initial=1)), ALL_PAIRS)):
         i = np.flatnonzero(small & (left > step))
         near = np.bitwise_count(fps[i].view("u8") ^ fps[i + step].view("u8")) <= distance
         out_a.append(fps[i[near]])
         out_b.append(fps[i[near] + step])
-    rest_a, rest_b = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
     for at, n in zip(head[sizes > ALL_PAIRS].tolist(), sizes[sizes > ALL_PAIRS].tolist(), strict=True):
-        a, b = crowded(np.unique(fps[at : at + n]))
-        rest_a.append(a)
-        rest_b.append(b)
-    return (np.concatenate(out_a), np.concatenate(out_b)), (np.concatenate(rest_a), np.concatenate(rest_b))
+        group = np.unique(fps[at : at + n])
+        a, b = neighbours(group)
+        out_a.append(a)
+        out_b.append(b)
+    return np.concatenate([np.zeros(0, "i8"), *out_a]), np.concatenate([np.zeros(0, "i8"), *out_b])
 
 
-def _met(fps: DataFrame, of_cells, schema: str) -> DataFrame:
-    """The grid join: ``of_cells`` makes rows of ``schema`` (two longs) of the cells and fingerprints of whole cells.
+def near_links(fps: DataFrame) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) whose transitive closure joins all within two bits.
 
     The 16 counts are the digits of a base-5 number, so a step along an axis adds or takes a power of five.
     Rows of a cell come together by a sort that can spill; a task holds one Arrow batch and the cell it ends in.
@@ -119,14 +131,14 @@ def _met(fps: DataFrame, of_cells, schema: str) -> DataFrame:
     cell = " + ".join(f"{d} * {5**i}L" for i, d in enumerate(digits))
     steps = ", ".join(["0L", *(f"{s}{5**i}L" for i in range(16) for s in ("", "-"))])
     dealt = fps.selectExpr("fp", f"{cell} AS own").selectExpr("fp", f"explode(transform(array({steps}), d -> own + d)) AS cell").repartition("cell").sortWithinPartitions("cell", "fp")
-    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_cells, held_fps = np.zeros(0, "i8"), np.zeros(0, "i8")
 
-        def rows(cells: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            found = np.unique(np.stack(of_cells(cells, values), 1), axis=0)
-            return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], names=names)
+        def links(cells: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+            a, b = linked_in_cells(cells, values, 2)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -135,37 +147,12 @@ def _met(fps: DataFrame, of_cells, schema: str) -> DataFrame:
             values = np.concatenate([held_fps, batch.column("fp").to_numpy()])
             whole = int(np.searchsorted(cells, cells[-1]))  # the last cell may go on in the next batch
             if whole:
-                yield rows(cells[:whole], values[:whole])
+                yield links(cells[:whole], values[:whole])
             held_cells, held_fps = cells[whole:], values[whole:]
         if len(held_cells):
-            yield rows(held_cells, held_fps)
-
-    return dealt.select("cell", "fp").mapInArrow(run, schema)
-
-
-def near_links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) whose transitive closure joins all within two bits."""
-
-    def of_cells(cells: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pairs, rest = linked_in_cells(cells, values, 2)
-        a, b = (np.concatenate(x) for x in zip(pairs, rest, strict=True))
-        return np.minimum(a, b), np.maximum(a, b)
-
-    return _met(fps, of_cells, "a long, b long")
-
-
-def near_meetings(fps: DataFrame) -> DataFrame:
-    """(key, fp) of distinct fingerprints (column fp): any two within two bits share a key. Unlike near_links() this
-    serves checks of each pair by itself. Keys of pairs and of listed values are told apart by mixing, not exactly:
-    fingerprints further apart may share one."""
-
-    def of_cells(cells: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        (a, b), (value, owner) = linked_in_cells(cells, values, 2, listed)
-        low, high = np.minimum(a, b).view("u8"), np.maximum(a, b).view("u8")
-        key = (low * np.uint64(0x9E3779B97F4A7C15) ^ high) * np.uint64(0xD6E8FEB86659FD93)
-        return np.concatenate([key, key, value.view("u8") * np.uint64(0xBF58476D1CE4E5B9)]).view("i8"), np.concatenate([a, b, owner])
+            yield links(held_cells, held_fps)
 
-    return _met(fps, of_cells, "key long, fp long")
+    return dealt.select("cell", "fp").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

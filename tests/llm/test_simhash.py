@@ -51,8 +51,7 @@ def test_links_within_a_cell_connect_what_all_pairs_connect(base, data):
     fps = np.array(sorted(fps), "u8").view("i8")
     near = lambda a, b: (a ^ b).bit_count() <= 2
     want = reach([int(x) % 2**64 for x in fps], near)
-    pairs, rest = simhash.linked_in_cells(np.zeros(len(fps), "i8"), fps, 2)
-    for a, b in (simhash.neighbours(fps), [np.concatenate(x) for x in zip(pairs, rest, strict=True)]):
+    for a, b in (simhash.neighbours(fps), simhash.linked_in_cells(np.zeros(len(fps), "i8"), fps, 2)):
         edges = {(int(x) % 2**64, int(y) % 2**64) for x, y in zip(a, b, strict=True)}
         assert all(near(x, y) for x, y in edges)
         assert reach(list(want), lambda x, y, e=edges: (x, y) in e or (y, x) in e) == want
@@ -76,21 +75,17 @@ def test_grid_join_finds_all_within_two_bits(spark, monkeypatch):
         assert reach(sorted(fps), lambda x, y, e=edges: (x, y) in e or (y, x) in e) == want
 
 
-def test_all_within_two_bits_meet(spark, monkeypatch):
-    """Each pair by itself, in small and in crowded cells."""
-    rng = np.random.default_rng(3)
-    fps = {int(x) for x in rng.integers(0, 2**62, 30)}
-    for x in list(fps):
-        fps |= {x ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (4, 2))}
-    want = {(a, b) for a, b in itertools.combinations(sorted(fps), 2) if (a ^ b).bit_count() <= 2}
-    df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    for all_pairs in (64, 1):
-        monkeypatch.setattr(simhash, "ALL_PAIRS", all_pairs)
-        groups = {}
-        for r in simhash.near_meetings(df).collect():
-            groups.setdefault(r.key, set()).add(r.fp)
-        met = {p for g in groups.values() for p in itertools.combinations(sorted(g), 2)}
-        assert want <= met
+@given(st.text("ab \n\u00e9", max_size=60), st.integers(1, 4), st.integers(1, 9))
+@settings(max_examples=150, deadline=None)
+def test_long_texts_are_hashed_in_parts(text, shingle, most):
+    lists, part = simhash.word_lists, simhash.PART
+    want = simhash.shingle_hashes(text, shingle)
+    try:
+        simhash.word_lists, simhash.PART = (lambda data: lists(data, most)), most
+        assert (simhash.shingle_hashes(text, shingle) == want).all()
+        assert int.from_bytes(simhash.fingerprint(want), "big") == plain_fingerprint(text, shingle)
+    finally:
+        simhash.word_lists, simhash.PART = lists, part
 
 
 def test_components(spark, documents):
