@@ -41,7 +41,8 @@ def test_machine_learns_a_pair_that_no_sum_can():
         sets.append(np.array(sorted({*rng.choice(noise, 5)} | ({a} if x else set()) | ({b} if y else set())), "u4"))
         labels.append(int(x and y) if rng.random() < 0.99 else 0)
     labels = np.array(labels)
-    m = t.fit(sets, labels, np.ones(len(labels)), epochs=60)
+    features = np.array(sorted({*noise, a, b}))
+    m = t.fit(features, t.rows_of(sets, t.place_of(features), len(features)), labels, np.ones(len(labels)), epochs=60)
     rows = t.rows_of([np.array([a]), np.array([b]), np.array(sorted([a, b]))], m.place(), len(m.features))
     raw = m.raw(rows)
     assert raw[2] > 0 > max(raw[0], raw[1])
@@ -49,6 +50,72 @@ def test_machine_learns_a_pair_that_no_sum_can():
     assert abs(pair) > 0.1
 
 
+def test_machine_against_loops():
+    """The pair part by a loop over all pairs of features that a text has."""
+    rng = np.random.default_rng(3)
+    m = t.FactorizationMachine(np.arange(20), 0.3, rng.normal(size=20).astype("f4"), rng.normal(size=(20, 4)).astype("f4"))
+    rows = (rng.random((30, 20)) < 0.3).astype("f4")
+    for x, raw in zip(rows, m.raw(rows), strict=True):
+        on = np.flatnonzero(x).tolist()
+        want = 0.3 + sum(m.linear[i] for i in on) + sum(m.factors[i] @ m.factors[j] for i in on for j in on if i < j)
+        assert abs(raw - want) < 1e-3
+
+
+def test_features_against_loops(spark):
+    rng = np.random.default_rng(4)
+    sets = [np.flatnonzero(rng.random(40) < (0.1 + 0.02 * (i % 2) * np.arange(40))).astype("u4") for i in range(300)]
+    labels = [i % 2 for i in range(300)]
+    table = spark.createDataFrame([(y, s.astype("<u4").tobytes()) for s, y in zip(sets, labels, strict=True)], "label int, cells binary")
+    n1, n0, z = 150, 150, {}
+    for c in range(40):
+        pos, neg = (sum(c in s for s, y in zip(sets, labels, strict=True) if y == k) for k in (1, 0))
+        if pos + neg >= 4:
+            p = (pos + neg + 1) / 302
+            z[c] = abs(pos / n1 - neg / n0) / (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5
+    best = sorted((c for c in z if z[c] > 3), key=lambda c: (-z[c], c))
+    assert len(best) > 10
+    for most in (5, 100):
+        assert t.features_of(table, n1, n0, most).tolist() == sorted(best[:most])
+
+
+def test_scores_against_one_text_at_a_time(spark, documents):
+    """Whole tables against the model applied to each text by itself."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    m = t.train(documents, labels, "toxic")
+    for r in t.score(documents, m).collect():
+        on = {int(m.place()[c]) for c in t.cells_of(r.text or "")} - {len(m.features)}
+        raw = m.bias + sum(m.linear[i] for i in on) + sum(m.factors[i] @ m.factors[j] for i in on for j in on if i < j)
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(raw, -30, 30)))) < 1e-3
+    b = q.train(documents, labels, "toxic")
+    for r in q.score(documents, b).collect():
+        shape, cells = q.features_of(r.text or "")
+        values = [min(max((x - mean) / scale, -5), 5) for x, mean, scale in zip(shape, b.mean, b.scale, strict=True)]
+        values += [float(x > e) for x, edges in zip(shape, b.edges, strict=True) for e in edges] + list(cells)
+        s = sum(v * w for v, w in zip(values, b.weights, strict=True))
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(s - b.cut + np.log(0.3 / 0.7), -30, 30)))) < 1e-6
+
+
+def test_bradley_terry_gradient():
+    """The loss that the weights minimise, over all pairs: no step along any axis lowers it much."""
+    rng = np.random.default_rng(5)
+    shape, labels = rng.normal(size=(60, len(q.SHAPE))), np.arange(60) % 2
+    shape[:, 0] += labels
+    m = q.fit(shape, np.zeros((60, q.CELLS)), labels, np.ones(60), ridge=0.1, steps=2000)
+    x = m.expand(shape, np.zeros((60, q.CELLS)))
+
+    def loss(w):
+        s = x @ w
+        pairs = [np.log1p(np.exp(-(s[i] - s[j]))) for i in np.flatnonzero(labels == 1) for j in np.flatnonzero(labels == 0)]
+        return np.mean(pairs) + 0.05 * w @ w
+
+    best = loss(m.weights)
+    assert best < loss(np.zeros(len(m.weights)))
+    for axis in range(0, 12):
+        step = np.zeros(len(m.weights))
+        step[axis] = 0.05
+        assert loss(m.weights + step) > best - 2e-3 and loss(m.weights - step) > best - 2e-3
+
+
 def test_bradley_terry_orders_pairs():
     rng = np.random.default_rng(1)
     shape = rng.normal(size=(400, len(q.SHAPE)))
