@@ -15,17 +15,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import slices
+from lakemill.llm.common import prepare, slices
 
 #: n-gram lengths and the number of hash cells of each.
 SPECTRUM = {2: 4096, 3: 4096, 4: 4096}
 WIDTH = sum(SPECTRUM.values())
 #: Texts in a matrix product.
 BLOCK = 256
+#: Bytes of text whose n-grams are hashed at a time.
+PART = 1 << 20
 #: Classes of a text's number of n-grams, see familiarity().
 SIZES = WIDTH.bit_length() + 1
 #: A text is like no language below this share of the familiarity that all but a hundredth of the fitted rows reach.
 FAMILIAR = 0.7
+#: Landmarks at most, where there are so many languages that one for each is more.
+MOST_LANDMARKS = 1024
 #: ASCII bytes that are no letters become a space; other bytes stay.
 LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -36,18 +40,21 @@ def presence(texts: list[str]) -> np.ndarray:
     """0/1 rows: which hashed n-grams each text has. n-grams never span two texts."""
     raw = [x.lower().encode("utf-8", "ignore").translate(LETTERS) for x in texts]
     out = np.zeros(len(texts) * WIDTH, "u1")
-    data = np.frombuffer(b"".join(raw), "u1").astype("u4")
-    row = np.repeat(np.arange(len(raw), dtype="i8"), [len(x) for x in raw])
-    base = 0
-    code = data
-    for n in range(2, 5):
-        if len(data) < n:
-            break
-        code = (code[:-1] << np.uint32(8)) | data[n - 1 :]
-        cell = (code * np.uint32(2654435761)) >> np.uint32(20)
-        inside = row[: len(cell)] == row[n - 1 :]
-        out[(row[: len(cell)] * WIDTH + base + cell)[inside]] = 1
-        base += SPECTRUM[n]
+    joined = b"".join(raw)
+    ends = np.cumsum([len(x) for x in raw])
+    for at in range(0, len(joined), PART):
+        data = np.frombuffer(joined, "u1", min(PART + 3, len(joined) - at), at).astype("u4")  # n-grams that begin in the part
+        row = np.searchsorted(ends, np.arange(at, at + len(data)), "right")
+        base = 0
+        code = data
+        for n in range(2, 5):
+            if len(data) < n:
+                break
+            code = (code[:-1] << np.uint32(8)) | data[n - 1 :]
+            cell = (code * np.uint32(2654435761)) >> np.uint32(20)
+            inside = row[: len(cell)] == row[n - 1 :]
+            out[(row[: len(cell)] * WIDTH + base + cell)[inside]] = 1
+            base += SPECTRUM[n]
     return out.reshape(len(texts), WIDTH)
 
 
@@ -109,7 +116,7 @@ def fit(langs: list[str], bits: np.ndarray, landmarks: int = 128, ridge: float =
     if not languages:
         return LanguageModel([], np.zeros((0, WIDTH // 8), "u1"), np.zeros((1, 0), "f4"), np.zeros((0, WIDTH), "f4"), np.zeros(SIZES))
     each = -(-landmarks // len(languages))
-    chosen = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(languages))])
+    chosen = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(languages))])[:MOST_LANDMARKS]
     profiles = np.stack([sum(np.unpackbits(rows[i : i + BLOCK], axis=1).sum(0, dtype="f4") for i in range(0, len(rows), BLOCK)) / len(rows) for k in range(len(languages)) for rows in [bits[y == k]]])
     model = LanguageModel(languages, bits[chosen], np.zeros((1, 0), "f4"), profiles, np.zeros(SIZES))
     value, n = (np.concatenate(x) for x in zip(*(model.familiarity(np.unpackbits(bits[i : i + BLOCK], axis=1)) for i in range(0, len(bits), BLOCK)), strict=True))
@@ -130,18 +137,22 @@ def fit(langs: list[str], bits: np.ndarray, landmarks: int = 128, ridge: float =
     return model
 
 
-def train(docs: DataFrame, per_language: int = 400, most_languages: int = 64, landmarks: int = 128) -> LanguageModel:
+def train(docs: DataFrame, per_language: int = 400, most_rows: int = 8192, landmarks: int = 128) -> LanguageModel:
     """Fit on a bounded sample of the rows of ``docs`` (doc_id, text, lang) with a non-null lang.
 
-    The sample: about ``per_language`` rows of each of the ``most_languages`` most frequent languages, by a hash
-    of doc_id. Texts become packed bits on the executors, 1.5 KB each, before they reach the driver.
+    The sample: of every language the ``per_language`` rows of least hash of doc_id, or as many fewer as there are more
+    languages than ``most_rows`` has room for; one at least, so all are learned. (With more languages than ``most_rows``
+    only that many, the most frequent.) Texts become packed bits on the executors, 1.5 KB each, before they reach the
+    driver, with some to spare since a hash doesn't draw an exact number.
     """
+    prepare(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_rows).collect()
     draw = (F.xxhash64(F.lit(29), F.col("doc_id")) / F.lit(2.0**64)) + 0.5
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (draw < per_language / r["count"]))
+    each = min(per_language, max(1, most_rows // max(len(counts), 1)))
+    spare = each + 4 * each**0.5 + 4
+    rates = docs.sparkSession.createDataFrame([(r["lang"], spare / r["count"]) for r in counts], "lang string, _rate double")
+    drawn = labelled.withColumn("lang", F.col("lang").cast("string")).join(rates, "lang").where(draw < F.col("_rate"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,8 +162,12 @@ def train(docs: DataFrame, per_language: int = 400, most_languages: int = 64, la
                     bits = np.packbits(presence([x or "" for x in block.column("text").to_pylist()]), axis=1)
                     yield pa.record_batch([block.column("draw"), block.column("lang"), pa.array([x.tobytes() for x in bits], pa.binary())], names=["draw", "lang", "bits"])
 
-    sample = labelled.where(wanted).select(draw.alias("draw"), F.col("text").cast("string").alias("text"), "lang")
-    rows = sorted(sample.mapInArrow(run, "draw double, lang string, bits binary").collect(), key=lambda r: (r["draw"], r["lang"]))
+    sample = drawn.select(draw.alias("draw"), F.col("text").cast("string").alias("text"), "lang")
+    rows, taken = [], {}
+    for r in sorted(sample.mapInArrow(run, "draw double, lang string, bits binary").collect(), key=lambda r: (r["draw"], r["lang"], bytes(r["bits"]))):
+        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
+        if taken[r["lang"]] <= each:
+            rows.append(r)
     bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), "u1").reshape(-1, WIDTH // 8)
     return fit([r["lang"] for r in rows], bits, landmarks)
 
@@ -169,6 +184,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", reject: b
     "exactly like its language" and -1 "exactly unlike", brought to 0..1. Existing columns of the two names
     are replaced; all others stay. With ``reject``, texts like no language of the model are ``und`` with score 0 too.
     """
+    prepare(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
 

@@ -1,5 +1,8 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from lakemill.llm import language_id
 from lakemill.llm import queries_op2_language_id as op2
 from lakemill.llm.language_id import WIDTH, fit, predict, presence, train
 
@@ -15,6 +18,56 @@ def test_presence_is_that_of_each_text_alone():
     assert (presence(["abc"]) == presence(["ABC"])).all()
 
 
+def test_kernel_against_sets():
+    """Blended spectrum by sets of n-grams: shared ones over the root of the product of the numbers, for each length."""
+    texts = ["hello there, world", "Hello World", "völlig anders", "a", "", "the the the"]
+
+    def grams(x, n):
+        b = x.lower().encode().translate(language_id.LETTERS)
+        return {b[i : i + n] for i in range(len(b) - n + 1)}
+
+    rows = language_id._normalised(presence(texts))
+    got = rows @ rows.T
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts):
+            want = sum(len(grams(x, n) & grams(y, n)) / max(len(grams(x, n)) * len(grams(y, n)), 1) ** 0.5 for n in (2, 3, 4)) / 3
+            assert abs(got[i, j] - want) < 0.05  # cells are shared by a few n-grams
+
+
+@pytest.mark.parametrize("part", [1, 2, 7, 50])
+def test_long_texts_are_hashed_in_parts(monkeypatch, part):
+    texts = ["Hello there", "", "é", "abcabc", "a", "12 34", "xyz" * 50]
+    want = presence(texts)
+    monkeypatch.setattr(language_id, "PART", part)
+    assert (presence(texts) == want).all()
+
+
+def test_scores_against_loops():
+    """Predictions by sums over landmarks one at a time; the weights solve the ridge equations."""
+    texts = [f"{w} {w}s of the {w}" for w in ("house", "garden", "river")] * 4 + [f"{w} und die {w}en" for w in ("Haus", "Garten", "Fluss")] * 4
+    langs = ["en"] * 12 + ["de"] * 12
+    bits = np.packbits(presence(texts), axis=1)
+    m = fit(langs, bits, landmarks=6)
+    marks, rows = m.unpacked(), presence(["the gardens of the house", "die Gartenhaus und"])
+    got = m.scores(rows, marks)
+    for i, row in enumerate(language_id._normalised(rows)):
+        for k in range(2):
+            want = m.weights[-1][k] + sum(float(row @ mark) * m.weights[j][k] for j, mark in enumerate(marks))
+            assert abs(got[i, k] - want) < 1e-3
+    assert [m.languages[k] for k in got.argmax(1)] == ["en", "de"]
+
+
+def test_all_languages_are_learned(spark):
+    rows = [(i, f"{'abcdefghij'[k % 10] * 3}{'klmnopqrst'[k // 10] * 3} " * 20, f"l{k:02d}") for k in range(100) for i in range(k * 20, k * 20 + 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs)
+    assert len(model.languages) == 100
+    got = predict(docs, model)
+    assert got.where("lang_pred = lang").count() > 0.95 * len(rows)
+    few = train(docs, most_rows=150)
+    assert len(few.languages) == 100
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     got = op2.query(spark, SF).join(docs, "doc_id")
