@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import durable, partitions, slices
+from lakemill.llm.common import durable, partitions, prepare, slices
 
 #: Levels, all of which enter the sketch at every length of text, so that the sketches of any two texts compare the
 #: same kinds of phrases: of about 6, 15, 37 and 90 bytes, and more.
@@ -226,6 +226,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
                 yield _rows([(i, x), (None, y)])
 
     spark = docs.sparkSession
+    prepare(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     found = durable(ordered.mapInArrow(run, f"{FINGERPRINTED}, {edges}"), "fingerprints")

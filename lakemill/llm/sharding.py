@@ -11,13 +11,20 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Merges of one job, each of which is a part of its plan.
+MERGES = 64
+
+
 class CommitConflict(RuntimeError):
     """Another writer has committed this version."""
 
@@ -92,11 +99,23 @@ class ShardStore:
         found = written.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).groupBy("path", "bytes").count()
         return [Shard(r["path"], r["count"], r["bytes"]) for r in found.orderBy("path").collect()]  # a row for each new file
 
+    def _publish(self, change: Callable[[list[Shard]], list[Shard] | None], what: str) -> int | None:
+        """Commit ``change`` of the latest version's shards, again if another writer comes first; None, and nothing is
+        committed, where it says so."""
+        while True:
+            base = self.manifest()
+            shards = change([Shard(**s) for s in base["shards"]])
+            if shards is None:
+                return None
+            try:
+                return self.commit(base["version"], shards, what)
+            except CommitConflict:
+                continue
+
     def append(self, df: DataFrame) -> int:
         """Commit the rows of ``df`` as new shards. Rows and columns are kept as they are; no rows commit no file."""
-        base = self.manifest()
         new = self._write(df)
-        return self.commit(base["version"], [Shard(**s) for s in base["shards"]] + new, "append")
+        return self._publish(lambda shards: shards + new, "append")
 
     def tier_of(self, shard: Shard) -> int | None:
         """None for full files."""
@@ -105,33 +124,57 @@ class ShardStore:
         return max(0, math.ceil(math.log(max(shard.bytes, 1) / self.least, self.tier)))
 
     def due(self, shards: list[Shard]) -> list[list[Shard]]:
-        """The files to merge next, by tier: all of a tier that has ``fan_in`` or more."""
+        """What to merge next, each list into one file: the files of a tier that has ``fan_in`` or more, in order of
+        size, as many together as the target holds. What is left over after full ones is merged if it is ``fan_in`` files."""
         tiers: dict[int, list[Shard]] = {}
         for s in shards:
             if (t := self.tier_of(s)) is not None:
                 tiers.setdefault(t, []).append(s)
-        return [group for _, group in sorted(tiers.items()) if len(group) >= self.fan_in]
+        out = []
+        for _, group in sorted(tiers.items()):
+            if len(group) < self.fan_in:
+                continue
+            bins: list[list[Shard]] = [[]]
+            for s in sorted(group, key=lambda s: (s.bytes, s.path)):
+                if bins[-1] and sum(x.bytes for x in bins[-1]) + s.bytes > self.target:
+                    bins.append([])
+                bins[-1].append(s)
+            out += [x for i, x in enumerate(bins) if len(x) >= self.fan_in or len(x) > 1 and i < len(bins) - 1]
+        return out
 
     def compact(self, schema) -> int:
-        """Merge until no tier is due. Each merge is a version: its inputs out, its outputs in, in one commit.
+        """Merge until nothing is due. Each round is a version: its inputs out, its outputs in, in one commit.
 
-        A tier is merged by one job without a shuffle: each task reads some of the tier's files in a row and
-        writes one. The outputs number a ``fan_in``-th of the inputs at most, so this ends; they hold the target
-        where the tier has enough for it.
+        Every merge is one task that reads its files and writes one, of the target's size at most as its inputs are
+        counted, and so without a shuffle. Each leaves fewer files that aren't full, so this ends. Another writer's
+        commit in between is kept; where it took one of the inputs, the outputs are thrown away.
         """
         while True:
-            base = self.manifest()
-            shards = [Shard(**s) for s in base["shards"]]
-            groups = self.due(shards)
-            if not groups:
-                return base["version"]
-            for group in groups:
-                total = sum(s.bytes for s in group)
-                files = min(max(1, round(total / self.target)), len(group) // self.fan_in)
-                merged = self._write(self.spark.read.schema(schema).parquet(*(s.path for s in group)).coalesce(files))
-                gone = {s.path for s in group}
-                shards = [s for s in shards if s.path not in gone] + merged
-                base = {"version": self.commit(base["version"], shards, "merge")}
+            due = self.due(self.shards())
+            if not due:
+                return self.manifest()["version"]
+            due = due[:MERGES]
+            parts = [self.spark.read.schema(schema).parquet(*(s.path for s in group)).coalesce(1) for group in due]
+            merged = self._write(reduce(DataFrame.union, parts))
+            gone = {s.path for group in due for s in group}
+            kept = self._publish(lambda shards, gone=gone, merged=merged: [s for s in shards if s.path not in gone] + merged if gone <= {s.path for s in shards} else None, "merge")
+            if kept is None:
+                for s in merged:
+                    fs, p = self._fs(s.path)
+                    fs.delete(p, False)
+
+    def sweep(self, older_than: float = 86_400.0) -> int:
+        """Delete folders of data of which no manifest lists a file, and unfinished manifests, that are ``older_than``
+        seconds old: what writers have left that never came to commit. How many."""
+        listed = {s.path.split("/")[-2] for v in self.versions() for s in self.shards(v)}
+        found = []
+        for folder, keep in (("data", lambda name: name in listed), ("manifest", lambda name: "draft-" not in name)):
+            fs, p = self._fs(f"{self.root}/{folder}")
+            found += [s for s in (fs.listStatus(p) if fs.exists(p) else []) if not keep(s.getPath().getName())]
+        old = [s for s in found if time.time() - s.getModificationTime() / 1000 > older_than]
+        for s in old:
+            self._fs(self.root)[0].delete(s.getPath(), True)
+        return len(old)
 
     def expire(self, keep: int = 1) -> int:
         """Delete all manifests but the last ``keep``, then the files that only those listed; how many files went.

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lakemill.llm import mixing
 from lakemill.llm.mixing import Mix, draw, exponent, mixed, n_tokens
 
 
@@ -90,3 +91,33 @@ def test_pipeline_mixes_to_the_target_of_op10(spark):
     w = shares(sources(corpus_pipeline.source_weights(spark, docs, "")))
     entropy = -sum(x * math.log(x) for x in w.values()) / math.log(len(w))
     assert abs(entropy - 0.97) < 0.005
+
+
+def test_against_a_plain_draw(spark):
+    """Exponent by bisection over floats, passes and cut by walking each source in order."""
+    rows = [(i, "w " * (1 + i * i % 11), f"s{min(i % 13, i % 7)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn, plan = draw(docs, Mix(entropy=0.98, most_repeats=None, budget=4000))
+    tokens = {}
+    for i, x, s in rows:
+        tokens[s] = tokens.get(s, 0) + len(x.split())
+    p = shares(tokens)
+    entropy = lambda a: (lambda w: -sum(x * math.log(x) for x in w.values()) / math.log(len(w)))(shares({k: v**a for k, v in p.items()}))
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if entropy(mid) >= 0.98 else (low, mid)
+    weight = shares({k: v**low for k, v in p.items()})
+    place = {r.doc_id: r.p for r in docs.select("doc_id", mixing.place(mixing.source_key(F.col("source")), F.col("doc_id"), F.lit(0), Mix().seed).alias("p")).collect()}
+    want = {}
+    for s in tokens:
+        left = 4000 * weight[s]
+        passes = int(left / tokens[s])
+        left -= passes * tokens[s]
+        full = False
+        for i, x, _ in sorted((r for r in rows if r[2] == s), key=lambda r: place[r[0]]):
+            full = full or len(x.split()) > left
+            want[i] = passes + (not full)
+            left -= 0 if full else len(x.split())
+    got = {r.doc_id: r["count"] for r in drawn.groupBy("doc_id").count().collect()}
+    assert got == {i: n for i, n in want.items() if n}

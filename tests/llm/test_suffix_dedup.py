@@ -77,3 +77,46 @@ def test_awkward_rows(documents, clashing, empty):
     assert s.remove_repeats(empty).count() == 0 and s.remove_repeats(empty, keep_columns=True).count() == 0
     both = s.remove_repeats(documents.where("doc_id = 30")).collect()  # two equal rows: one goes, but for nothing the other shares with itself
     assert sorted(r.n_removed for r in both)[-1] == 1500
+
+
+def test_runs_of_long_texts_in_parts(monkeypatch):
+    """Windows have the same anchors whatever is hashed at a time, and each is in one run."""
+    rng = np.random.default_rng(1)
+    sizes = np.array([0, 700, 30, 0, 2000, 120, 0])
+    data = rng.integers(97, 101, sizes.sum()).astype("u1")
+
+    def windows():
+        r = s.Runs(data, sizes, 40)
+        assert (s._mix(r.hash(r.p, 20), 0x94D049BB133111EB) != 0).all()
+        return {int(w): (int(p), int(d), int(h)) for p, a, b, d, h in zip(r.p, r.a, r.b, r.doc, r.anchor, strict=True) for w in range(a, b + 1)}
+
+    want = windows()
+    assert len(want) == sum(max(n - 39, 0) for n in sizes)
+    for part in (1, 50, 333):
+        monkeypatch.setattr(s, "PART", part)
+        assert windows() == want
+
+
+def test_spans_are_compared_byte_by_byte(spark, documents):
+    """A claim that a span repeats what it doesn't ends the job."""
+    docs = documents.where("doc_id < 5").coalesce(1)
+    blocks = s.make_blocks(docs, "doc_id", "text", [])
+    row = blocks.first()
+    text = s.zstandard.ZstdDecompressor().decompress(row.text)
+    told = s._zip(np.array([[0], [0], [9], [3]], "i8"))
+    squeeze = s.zstandard.ZstdCompressor().compress
+    claim = lambda body: spark.createDataFrame([(row.block, 77, told, squeeze(body))], "source long, block long, spans binary, bytes binary")
+    assert s.confirmed(blocks, claim(text[3:12]), 2).first().block == 77
+    with pytest.raises(Exception, match="one hash"):
+        s.confirmed(blocks, claim(text[4:13]), 2).collect()
+
+
+def test_repeats_within_and_across_blocks(spark, monkeypatch):
+    """Many small blocks: first copies in the same block, in others, and chained over several documents."""
+    monkeypatch.setattr(s, "BLOCK_BYTES", 3000)
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    parts = [word(int(n)) for n in rng.integers(40, 400, 12)]
+    rows = [(i, "".join(parts[int(k)] for k in rng.integers(0, 12, 6)) + word(30)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(r) for r in s.remove_repeats(docs, 100).collect()) == brute(rows, 100)
