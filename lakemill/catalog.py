@@ -51,12 +51,15 @@ class Index:
     columns: list[str]
     unique: bool = False
     method: str = "BTREE"
+    where: str | None = None
 
 
 @dataclass
 class Table:
     """``files``: (path, schema version when written). ``version`` changes with every commit to the table.
-    ``batches``: the last micro-batch of each stream that was committed."""
+    ``batches``: the last micro-batch of each stream that was committed. ``query``: of a view, whose rows are in files
+    only if it is ``materialized``. ``ranges``: columns by whose ranges rows are dealt to files, and ``bounds`` between
+    the ranges of the one column, as SQL, where they are given."""
 
     name: str
     columns: list[Column]
@@ -67,6 +70,15 @@ class Table:
     version: int = 0
     next_field: int = 0
     batches: dict[str, int] = field(default_factory=dict)
+    query: str | None = None
+    materialized: bool = False
+    ranges: list[str] = field(default_factory=list)
+    bounds: list[str] = field(default_factory=list)
+    format: str = "parquet"
+
+    @property
+    def is_view(self) -> bool:
+        return self.query is not None and not self.materialized
 
     def column(self, name: str) -> Column:
         for c in self.columns:
@@ -87,26 +99,34 @@ class Table:
     def stored_schema(self) -> StructType:
         return _parse_datatype_string(", ".join(f"`{c.field}` {c.type}" for c in self.columns))
 
-    def read(self, spark: SparkSession, files: list[tuple[str, int]] | None = None, with_file: bool = False) -> DataFrame:
-        """The rows, a scan for each schema version whose columns differ by defaults; else one scan of all files."""
+    def read(self, spark: SparkSession, files: list[tuple[str, int]] | None = None, with_file: bool = False, with_row: bool = False) -> DataFrame:
+        """The rows, a scan for each schema version whose columns differ by defaults; else one scan of all files.
+        With their file as _file, and their place in it as _row, if asked for."""
+        if self.is_view:
+            raise CatalogError(f"{self.name} is a view")
+        if with_row and self.format != "parquet":
+            raise CatalogError(f"rows of {self.format} files have no numbers")
         files = self.files if files is None else files
+        extra = {"_file": "file_path"} if with_file else {}
+        extra |= {"_row": "row_index"} if with_row else {}
         if not files:
-            empty = spark.createDataFrame([], self.schema())
-            return empty.withColumn("_file", F.lit(None).cast("string")) if with_file else empty
+            return spark.createDataFrame([], self.schema()).withColumns({k: F.lit(None).cast("string" if k == "_file" else "long") for k in extra})
         late = [c for c in self.columns if c.initial is not None]
         groups: dict[tuple[str, ...], list[str]] = {}
         for path, version in files:
             groups.setdefault(tuple(c.name for c in late if c.since > version), []).append(path)
         out = None
         for missing, paths in groups.items():
-            rows = spark.read.schema(self.stored_schema()).parquet(*paths)
+            rows = spark.read.schema(self.stored_schema()).format(self.format).load(paths)
             columns = [(F.expr(c.initial).cast(c.type) if c.name in missing else F.col(c.field)).alias(c.name) for c in self.columns]
-            part = rows.select(*columns, *([F.col("_metadata.file_path").alias("_file")] if with_file else []))
+            part = rows.select(*columns, *(F.col(f"_metadata.{v}").alias(k) for k, v in extra.items()))
             out = part if out is None else out.unionByName(part)
         return out
 
-    def unique_keys(self) -> list[list[str]]:
-        return [c.columns for c in self.constraints if c.kind in ("PRIMARY KEY", "UNIQUE")] + [i.columns for i in self.indexes if i.unique]
+    def unique_keys(self) -> list[tuple[list[str], str | None]]:
+        """(columns, condition on the rows that they tell apart or None for all rows)."""
+        keys = [(c.columns, None) for c in self.constraints if c.kind in ("PRIMARY KEY", "UNIQUE")]
+        return keys + [(i.columns, i.where) for i in self.indexes if i.unique]
 
 
 def _table(d: dict) -> Table:
@@ -180,3 +200,17 @@ class Catalog:
         for path in [*map(self._path, old), *sorted(gone)]:
             self.files.delete(path)
         return len(old)
+
+    def sweep(self, older_than: float) -> int:
+        """Delete staged tables and data folders of which no version lists a file, if nothing has been written to them
+        for ``older_than`` seconds; how many. Statements that are still running are thought to be younger."""
+        below = f"{self.root.rpartition('/')[2]}/data/"  # paths in the catalog begin with a scheme, the root may not
+        listed = {p.partition(below)[2] for v in self.versions() for t in self.load(v).tables.values() for p, _ in t.files}
+        used = {"/".join(p.split("/")[:2]) for p in listed}
+        found = [f"{self.root}/staged/{n}" for n in self.files.names(f"{self.root}/staged")]
+        for table in self.files.names(f"{self.root}/data"):
+            found += [f"{self.root}/data/{table}/{n}" for n in self.files.names(f"{self.root}/data/{table}") if f"{table}/{n}" not in used]
+        old = [p for p in found if self.files.age(p) > older_than]
+        for p in old:
+            self.files.delete(p)
+        return len(old)

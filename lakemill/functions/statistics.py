@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -52,13 +53,13 @@ class Cost:
     total: float
 
 
-def column_stats(df: DataFrame, *columns: str) -> DataFrame:
-    """One row: row_count, and for each column NAME_distinct, NAME_nulls, NAME_min, NAME_max; one pass over the columns.
+def column_stats(df: DataFrame, *columns: str, exact: bool = True, more: tuple[SparkColumn, ...] = ()) -> DataFrame:
+    """One row: row_count, for each column NAME_distinct, NAME_nulls, NAME_min, NAME_max, and ``more`` aggregates.
 
-    Distinct counts are exact for one column and HyperLogLog estimates for several, which share a pass that way.
+    Distinct counts are exact, for which Spark shuffles a row for each column and distinct value; without ``exact``
+    they are HyperLogLog estimates (a relative error of about 2 %), in one pass without that shuffle.
     """
-    exact = len(columns) == 1
-    aggregates = [F.count("*").alias("row_count")]
+    aggregates = [F.count("*").alias("row_count"), *more]
     for c in columns:
         col = F.col(f"`{c}`")
         aggregates += [
@@ -83,12 +84,13 @@ class Statistics:
         self.tables: dict[str, TableStats] = {}
 
     @classmethod
-    def collect(cls, tables: dict[str, DataFrame], buckets: int = 10) -> Statistics:
-        """One aggregation a table, and one more for the histograms of its numeric columns."""
+    def collect(cls, tables: dict[str, DataFrame], buckets: int = 10, exact: bool = True) -> Statistics:
+        """One aggregation a table, and one more for the histograms of its numeric columns. ``exact``: see column_stats()."""
         out = cls()
         for name, df in tables.items():
             plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-            row = column_stats(df, *plain).crossJoin(df.agg(F.coalesce(F.sum(sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in plain), F.lit(0))), F.lit(0)).alias("_size"))).first()  # one row each
+            size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in plain), F.lit(0))
+            row = column_stats(df, *plain, exact=exact, more=(F.coalesce(F.sum(size), F.lit(0)).alias("_size"),)).first()
             t = TableStats(row["row_count"], row["_size"])
             for c in plain:
                 t.columns[c] = ColumnStats(row[f"{c}_distinct"], row[f"{c}_nulls"], row[f"{c}_min"], row[f"{c}_max"])

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from lakemill.catalog import State, Table
 from lakemill.dialect import Cursor, to_spark, tokens
-from lakemill.errors import ParseError
+from lakemill.errors import CatalogError, ParseError
 from lakemill.operators.constraints import check, check_referrers
+from lakemill.operators.sharding import range_shard
+from lakemill.storage import Files
 
 
 class Writer:
@@ -20,24 +22,48 @@ class Writer:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self.staged: list[str] = []
 
     def write(self, table: Table, rows: DataFrame) -> tuple[list[tuple[str, int]], int]:
-        """(files, rows written) of ``rows``, which have the table's column names."""
+        """(files, rows written) of ``rows``, which have the table's column names; by the table's ranges, if it has any.
+
+        Ranges with bounds have files of their own, a large range several: adaptive execution splits and joins them.
+        """
         path = f"{self.root}/data/{re.sub(r"\W", "_", table.name)}/{uuid.uuid4().hex}"
-        rows.select(*(F.col(f"`{c.name}`").cast(c.type).alias(c.field) for c in table.columns)).write.parquet(path)
-        written = self.spark.read.schema(table.stored_schema()).parquet(path)
+        out = rows.select(*(F.col(f"`{c.name}`").cast(c.type).alias(c.field) for c in table.columns))
+        keys = [table.column(n).field for n in table.ranges]
+        if table.bounds:
+            kind = table.column(table.ranges[0]).type
+            dealt = out.withColumn("_range", range_shard(F.col(keys[0]), [F.expr(to_spark(b)).cast(kind) for b in table.bounds]))
+            dealt.hint("rebalance", "_range").sortWithinPartitions("_range", *keys).write.format(table.format).partitionBy("_range").save(path)
+        else:
+            if keys:
+                out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            out.write.format(table.format).save(path)
+        written = self.spark.read.schema(table.stored_schema()).format(table.format).option("recursiveFileLookup", True).load(path)
         found = written.groupBy(F.col("_metadata.file_path").alias("path")).count().collect()  # a row a file
         return [(r["path"], table.schema_version) for r in sorted(found, key=lambda r: r["path"])], sum(r["count"] for r in found)
 
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """``rows``, written and read back: evaluated once, for this statement only."""
+        path = f"{self.root}/staged/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        self.staged.append(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def clean(self) -> None:
+        """Delete what stage() has written. For callers whose results don't read it any more."""
+        for path in self.staged:
+            Files(self.spark).delete(path)
+        self.staged = []
+
 
 def _numbered(spark: SparkSession, table: Table, writer: Writer, rows: DataFrame, name: str) -> DataFrame:
     """Nulls of the column replaced by numbers from its maximum on, without a global sort: rows are written, files
     are given ranges by their row counts, and a row's number is its place in its file."""
     top = table.read(spark).agg(F.max(name)).first()[0] or 0
     top = max(top, rows.agg(F.max(name)).first()[0] or 0)
-    path = f"{writer.root}/staged/{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    staged = spark.read.schema(rows.schema).parquet(path)
+    staged = writer.stage(rows)
     placed = staged.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
     starts, at = [], top
     for r in sorted(placed.groupBy("_file").count().collect(), key=lambda r: r["_file"]):
@@ -45,7 +71,7 @@ def _numbered(spark: SparkSession, table: Table, writer: Writer, rows: DataFrame
         at += r["count"]
     offsets = spark.createDataFrame(starts, "_file string, _start long")
     number = F.col("_start") + F.col("_row") + 1
-    return placed.join(F.broadcast(offsets), "_file").withColumn(name, F.coalesce(name, number.cast(table.column(name).type))).drop("_file", "_row", "_start")  # a row a file
+    return placed.join(offsets, "_file").withColumn(name, F.coalesce(name, number.cast(table.column(name).type))).drop("_file", "_row", "_start")
 
 
 def _values_with_defaults(c: Cursor, table: Table, columns: list[str]) -> str:
@@ -93,7 +119,7 @@ def insert(spark: SparkSession, c: Cursor, state: State, writer: Writer, run) ->
     ``run``: gives the DataFrame of a query. EXCLUDED names the row that would have been inserted.
     """
     c.expect("INSERT", "INTO")
-    table = state.table(c.name())
+    table = writable(state, c.name())
     columns = [table.column(n).name for n in c.names()] if c.peek() == "(" and c.peek(1) != "SELECT" else [x.name for x in table.columns]
     query = _values_with_defaults(c, table, columns) if c.peek() == "VALUES" else c.text("ON", "RETURNING")
     rows = run(query)
@@ -116,10 +142,17 @@ def insert(spark: SparkSession, c: Cursor, state: State, writer: Writer, run) ->
     files, n = writer.write(table, rows)
     table.files += files
     new = table.read(spark, files)
-    check(spark, state, table, new, added_only=True)
+    check(spark, state, table, new)
     return n, new.selectExpr(*_items(returning)) if returning else None
 
 
+def writable(state: State, name: str) -> Table:
+    table = state.table(name)
+    if table.query is not None:
+        raise CatalogError(f"{table.name} is a view")
+    return table
+
+
 def _items(text: str) -> list[str]:
     """The items of a RETURNING list."""
     depth, out, begin = 0, [], 0
@@ -143,8 +176,7 @@ def _assignments(c: Cursor, *until: str) -> list[tuple[str, str]]:
 
 def upsert(spark: SparkSession, state: State, table: Table, writer: Writer, rows: DataFrame, keys: list[str], sets: list[tuple[str, str]], returning: str | None = None) -> tuple[int, DataFrame | None]:
     """Insert the rows whose keys are new and apply ``sets`` to the rows whose keys aren't; nothing for those if empty."""
-    staged, _ = writer.write(table, rows)
-    new = table.read(spark, staged)
+    new = writer.stage(rows)
     check_double = new.dropna(subset=keys).groupBy(*keys).count().where("count > 1")
     if not check_double.isEmpty():
         raise ParseError(f"the statement has several rows of one key {keys}")
@@ -152,11 +184,12 @@ def upsert(spark: SparkSession, state: State, table: Table, writer: Writer, rows
     added = new.join(present.select(*keys).distinct(), keys, "left_anti")
     files, n = writer.write(table, added)
     touched: list[tuple[str, int]] = []
+    gone = None
     if sets:
         old = table.read(spark, with_file=True)
         hit = [r["_file"] for r in old.join(new, keys, "left_semi").select("_file").distinct().collect()]  # a row a file
         if hit:
-            old = table.read(spark, [f for f in table.files if f[0] in set(hit)])
+            old = gone = table.read(spark, [f for f in table.files if f[0] in set(hit)])
             excluded = new.select(*(F.col(f"`{c.name}`").alias(f"_new_{c.field}") for c in table.columns))
             on = [old[k] == excluded[f"_new_{table.column(k).field}"] for k in keys]
             matched = F.col(f"_new_{table.column(keys[0]).field}").isNotNull()
@@ -167,7 +200,10 @@ def upsert(spark: SparkSession, state: State, table: Table, writer: Writer, rows
             table.files = [f for f in table.files if f[0] not in set(hit)]
     table.files += files + touched
     changed = table.read(spark, files + touched)
-    check(spark, state, table, changed, added_only=False)
+    if n:
+        check(spark, state, table, changed)
+    if gone is not None:
+        check_referrers(spark, state, table, gone, {name.lower() for name, _ in sets})
     return n, changed.join(new.select(*keys), keys, "left_semi").select(*(c.name for c in table.columns)).selectExpr(*_items(returning)) if returning else None
 
 
@@ -195,12 +231,22 @@ def _condition(c: Cursor, *until: str) -> SparkColumn:
     return F.coalesce(F.expr(to_spark(c.text(*until))), F.lit(False)) if c.take("WHERE") else F.lit(True)
 
 
-def update(spark: SparkSession, c: Cursor, state: State, writer: Writer) -> tuple[int, DataFrame | None]:
+def update(spark: SparkSession, c: Cursor, state: State, writer: Writer, run) -> tuple[int, DataFrame | None]:
+    """UPDATE t [[AS] alias] SET ... [FROM ...] [WHERE ...] [RETURNING ...]. ``run``: gives the DataFrame of a query."""
     c.expect("UPDATE")
-    table = state.table(c.name())
+    table = writable(state, c.name())
+    c.take("AS")
+    alias = c.name() if c.peek() != "SET" else table.name
     c.expect("SET")
-    sets = {table.column(n).name: e for n, e in _assignments(c, "WHERE", "RETURNING")}
-    condition = _condition(c, "RETURNING")
+    sets = {table.column(n).name: e for n, e in _assignments(c, "FROM", "WHERE", "RETURNING")}
+    if c.take("FROM"):
+        source = c.text("WHERE", "RETURNING")
+        where = c.text("RETURNING") if c.take("WHERE") else "TRUE"
+        returning = c.text() if c.take("RETURNING") else None
+        c.end()
+        return _update_from(spark, state, table, writer, run, alias, sets, source, where, returning)
+    sets = {n: _unqualified(e, alias) for n, e in sets.items()}
+    condition = F.coalesce(F.expr(to_spark(_unqualified(c.text("RETURNING"), alias))), F.lit(False)) if c.take("WHERE") else F.lit(True)
     returning = c.text() if c.take("RETURNING") else None
     c.end()
     hit, n = _hit_files(table, spark, condition)
@@ -212,15 +258,66 @@ def update(spark: SparkSession, c: Cursor, state: State, writer: Writer) -> tupl
     files, _ = writer.write(table, old.select(*values))
     gone = table.read(spark, old_files)
     table.files = [f for f in table.files if f[0] not in set(hit)] + files
-    check(spark, state, table, table.read(spark, files), added_only=False)
-    check_referrers(spark, state, table, gone)
+    assigned = {x.lower() for x in sets}
+    check(spark, state, table, table.read(spark, files), assigned)
+    check_referrers(spark, state, table, gone, assigned)
     changed = old.where("_hit").select(*values)
     return n, changed.selectExpr(*_items(returning)) if returning else None
 
 
+def _unqualified(expression: str, alias: str) -> str:
+    """The expression without ``alias.`` before columns."""
+    found, out, at = tokens(expression), [], 0
+    for t, dot in zip(found, found[1:], strict=False):
+        if t.kind in ("word", "quoted") and t.name.lower() == alias.lower() and dot.text == ".":
+            out.append(expression[at : t.start])
+            at = dot.end
+    return "".join([*out, expression[at:]])
+
+
+def _update_from(spark: SparkSession, state: State, table: Table, writer: Writer, run, alias: str, sets: dict[str, str], source: str, where: str, returning: str | None) -> tuple[int, DataFrame | None]:
+    """Rows take their values from the row of ``source`` that they match; several for one row are an error. The matches
+    are found once, by file and place in the file, and only files with matches are written anew."""
+    name = f"_target_{uuid.uuid4().hex}"
+    table.read(spark, with_file=True, with_row=True).createOrReplaceTempView(name)
+    quoted = "`" + alias.replace("`", "``") + "`"
+    values = ", ".join(f"{e} AS _set{i}" for i, e in enumerate(sets.values()))
+    try:
+        matched = writer.stage(run(f"SELECT {quoted}._file, {quoted}._row, {values} FROM {name} AS {quoted}, {source} WHERE {where}"))
+    finally:
+        spark.catalog.dropTempView(name)
+    if not matched.groupBy("_file", "_row").count().where("count > 1").isEmpty():
+        raise ParseError(f"a row of {table.name} matches several rows of {source}")
+    counts = {r["_file"]: r["count"] for r in matched.groupBy("_file").count().collect()}  # a row a file
+    if not counts:
+        return 0, table.read(spark).limit(0).selectExpr(*_items(returning)) if returning else None
+    old_files = [f for f in table.files if f[0] in counts]
+    old = table.read(spark, old_files, with_file=True, with_row=True).join(matched.withColumn("_hit", F.lit(True)), ["_file", "_row"], "left")
+    place = {n: f"_set{i}" for i, n in enumerate(sets)}
+    values = [(F.when(F.col("_hit"), F.col(place[x.name]).cast(x.type)).otherwise(F.col(f"`{x.name}`")) if x.name in place else F.col(f"`{x.name}`")).alias(x.name) for x in table.columns]
+    gone = table.read(spark, old_files)
+    files, _ = writer.write(table, old.select(*values))
+    table.files = [f for f in table.files if f[0] not in counts] + files
+    assigned = {x.lower() for x in sets}
+    check(spark, state, table, table.read(spark, files), assigned)
+    check_referrers(spark, state, table, gone, assigned)
+    return sum(counts.values()), old.where("_hit").select(*values).selectExpr(*_items(returning)) if returning else None
+
+
+def truncate(spark: SparkSession, c: Cursor, state: State) -> int:
+    """TRUNCATE [TABLE] t: all rows go, without a scan but for tables that refer to it."""
+    c.take("TABLE")
+    table = writable(state, c.name())
+    c.end()
+    gone = table.read(spark)
+    table.files = []
+    check_referrers(spark, state, table, gone)
+    return 1
+
+
 def delete(spark: SparkSession, c: Cursor, state: State, writer: Writer) -> tuple[int, DataFrame | None]:
     c.expect("DELETE", "FROM")
-    table = state.table(c.name())
+    table = writable(state, c.name())
     condition = _condition(c, "RETURNING")
     returning = c.text() if c.take("RETURNING") else None
     c.end()
@@ -235,22 +332,28 @@ def delete(spark: SparkSession, c: Cursor, state: State, writer: Writer) -> tupl
 
 
 def _referential_delete(spark: SparkSession, state: State, table: Table, writer: Writer, gone: DataFrame) -> None:
-    """ON DELETE of the tables that refer to the rows that went: cascade, set null, or an error."""
+    """ON DELETE of the tables that refer to the rows that went: cascade, set null or default, or an error. Of those
+    tables, too, only files with rows that point there are written anew, and what is set is checked."""
     for other in state.tables.values():
         for k in [k for k in other.constraints if k.kind == "FOREIGN KEY" and k.table.lower() == table.name.lower()]:
             if k.on_delete not in ("CASCADE", "SET NULL", "SET DEFAULT"):
                 continue
-            keys = gone.select(*(F.col(a).alias(f"_{b}") for a, b in zip(k.other_columns, k.columns, strict=True))).distinct()
-            rows = other.read(spark)
-            on = [rows[b] == keys[f"_{b}"] for b in k.columns]
-            pointing = rows.join(keys, on, "left_semi")
-            if pointing.isEmpty():
+            keys = gone.select(*(F.col(f"`{a}`").alias(f"_{i}") for i, a in enumerate(k.other_columns))).dropna().distinct()
+            on = [F.col(f"`{b}`") == F.col(f"_{i}") for i, b in enumerate(k.columns)]
+            hit = {r["_file"] for r in other.read(spark, with_file=True).join(keys, on, "left_semi").select("_file").distinct().collect()}  # a row a file
+            if not hit:
                 continue
-            kept = rows.join(keys, on, "left_anti")
+            rows = other.read(spark, [f for f in other.files if f[0] in hit])
+            pointing, kept = rows.join(keys, on, "left_semi"), rows.join(keys, on, "left_anti")
             if k.on_delete != "CASCADE":
-                blank = {b: F.expr(other.column(b).default or "NULL").cast(other.column(b).type) if k.on_delete == "SET DEFAULT" else F.lit(None).cast(other.column(b).type) for b in k.columns}
+                blank = {b: F.expr(to_spark(other.column(b).default or "NULL")).cast(other.column(b).type) if k.on_delete == "SET DEFAULT" else F.lit(None).cast(other.column(b).type) for b in k.columns}
                 kept = kept.unionByName(pointing.withColumns(blank))
-            other.files, _ = writer.write(other, kept)
+            files, left = writer.write(other, kept)
+            other.files = [f for f in other.files if f[0] not in hit] + (files if left else [])
             if k.on_delete == "CASCADE":
                 _referential_delete(spark, state, other, writer, pointing)
+            else:
+                assigned = {b.lower() for b in k.columns}
+                check(spark, state, other, other.read(spark, files), assigned)
+                check_referrers(spark, state, other, pointing, assigned)
     check_referrers(spark, state, table, gone)

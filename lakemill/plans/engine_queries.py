@@ -6,6 +6,7 @@ computes the same from the test tables directly.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemill.errors import ConstraintViolation, EngineError, WriteConflict
+from lakemill.errors import ConstraintViolation, EngineError, TransactionError, WriteConflict
 from lakemill.functions import mvcc
 from lakemill.functions.statistics import Statistics, column_stats, histogram
 from lakemill.operators.index import key_range
@@ -27,8 +28,12 @@ NATION = "CREATE TABLE nation_t (n_nationkey INTEGER PRIMARY KEY, n_name VARCHAR
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lakemill-")
+    """A new folder that all executors share: below spark.checkpoint.dir, or a temporary one on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise EngineError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lakemill-")
     return f"{base.rstrip('/')}/lakemill/{uuid.uuid4().hex}"
 
 
@@ -443,3 +448,328 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/event[s].parquet")
     append_stream(e, source, "events_t", "events", folder(spark) + "/checkpoint").awaitTermination()
     return e.execute("SELECT COUNT(*) AS c, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS s FROM events_t").df
+
+
+def fails(kind: type[Exception], f: Callable, *arguments) -> bool:
+    try:
+        f(*arguments)
+        return False
+    except kind:
+        return True
+
+
+@query("SELECT n_nationkey, CASE WHEN r_regionkey < 2 THEN r_name || '/' || n_name ELSE n_name END AS n_name, n_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey")
+def dml_update_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = nations(spark, sf_dir)
+    e.attach("region", spark.read.parquet(f"{sf_dir}/region.parquet"))
+    e.execute("UPDATE nation_t AS n SET n_name = r.r_name || '/' || n.n_name FROM region r WHERE r.r_regionkey = n.n_regionkey AND r.r_regionkey < 2")
+    return e.table("nation_t")
+
+
+@query("SELECT 1 AS affected, COUNT(*) AS c, MIN(k) AS k FROM (SELECT 7 AS k)")
+def ddl_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = nations(spark, sf_dir)
+    affected = e.execute("TRUNCATE TABLE nation_t").affected_rows
+    e.execute("INSERT INTO nation_t VALUES (7, 'after', 1)")
+    return e.execute("SELECT COUNT(*) AS c, MIN(n_nationkey) AS k FROM nation_t").df.withColumn("affected", F.lit(affected))
+
+
+@query("SELECT n_nationkey, 'second' AS n_name, n_regionkey, 1 AS versions FROM nation")
+def ddl_vacuum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = nations(spark, sf_dir)
+    e.script("UPDATE nation_t SET n_name = 'first'; UPDATE nation_t SET n_name = 'second'; VACUUM nation_t")
+    return e.table("nation_t").withColumn("versions", F.lit(len(e.catalog.versions())))
+
+
+@query("SELECT n_regionkey AS region, COUNT(*) AS c FROM nation WHERE n_nationkey <> 3 GROUP BY n_regionkey")
+def view_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view of a view shows what its table holds now."""
+    e = nations(spark, sf_dir)
+    e.script("CREATE VIEW pairs (nation, region) AS SELECT n_nationkey, n_regionkey FROM nation_t; CREATE VIEW counted AS SELECT region, COUNT(*) AS c FROM pairs GROUP BY region")
+    e.execute("DELETE FROM nation_t WHERE n_nationkey = 3")
+    return e.execute("SELECT region, c FROM counted").df
+
+
+@query("SELECT COUNT(*) AS kept, COUNT(*) - 5 AS refreshed FROM nation")
+def view_materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = nations(spark, sf_dir)
+    e.execute("CREATE MATERIALIZED VIEW names AS SELECT n_name FROM nation_t")
+    e.execute("DELETE FROM nation_t WHERE n_nationkey < 5")
+    kept = e.execute("SELECT COUNT(*) AS c FROM names").rows()[0][0]
+    e.execute("REFRESH MATERIALIZED VIEW names")
+    return e.execute("SELECT COUNT(*) AS refreshed FROM names").df.withColumn("kept", F.lit(kept).cast("long"))
+
+
+@query("SELECT COUNT(*) AS c, COUNT(*) AS ids, 1 AS low, CAST(COUNT(*) AS INTEGER) AS high FROM orders")
+def ddl_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "orders")
+    e.execute("CREATE TABLE sales (id SERIAL PRIMARY KEY, price DOUBLE)")
+    e.execute("INSERT INTO sales (price) SELECT o_totalprice FROM orders")
+    return e.execute("SELECT COUNT(*) AS c, COUNT(DISTINCT id) AS ids, MIN(id) AS low, MAX(id) AS high FROM sales").df
+
+
+@query("SELECT o_orderkey, o_totalprice, TRUE AS apart FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 200000")
+def ddl_partition_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``apart``: whether each file holds rows of one range only."""
+    e = engine(spark, sf_dir, "orders")
+    e.execute("CREATE TABLE sales (o_orderkey BIGINT, o_totalprice DOUBLE) PARTITION BY RANGE (o_totalprice) (PARTITION low VALUES LESS THAN (100000), PARTITION mid VALUES LESS THAN (200000), PARTITION high VALUES LESS THAN MAXVALUE)")
+    e.execute("INSERT INTO sales SELECT o_orderkey, o_totalprice FROM orders")
+    files = e.schema("sales").read(spark, with_file=True).groupBy("_file").agg(F.min(range_shard(F.col("o_totalprice"), [100000, 200000])).alias("a"), F.max(range_shard(F.col("o_totalprice"), [100000, 200000])).alias("b"))
+    apart = files.where("a <> b").isEmpty()
+    return e.execute("SELECT * FROM sales WHERE o_totalprice >= 100000 AND o_totalprice < 200000").df.withColumn("apart", F.lit(apart))
+
+
+@query("SELECT o_orderkey, TRUE AS double_outside, TRUE AS double_inside FROM orders WHERE o_custkey = 7 AND o_totalprice > 100000")
+def index_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A unique index on some rows lets others repeat its keys."""
+    e = engine(spark, sf_dir, "orders")
+    e.execute("CREATE TABLE o (o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE)")
+    e.execute("INSERT INTO o SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+    e.execute("CREATE INDEX CONCURRENTLY dear ON o (o_custkey) WHERE o_totalprice > 100000")
+    e.execute("CREATE UNIQUE INDEX once ON o (o_orderkey) WHERE o_totalprice >= 0")
+    e.execute("INSERT INTO o VALUES (1, -1, -5), (1, -1, -5)")
+    return e.index("dear").get(7).select("o_orderkey", F.lit(True).alias("double_outside"), F.lit(fails(ConstraintViolation, e.execute, "INSERT INTO o VALUES (1, -1, 5)")).alias("double_inside"))
+
+
+@query("SELECT TRUE AS rejected, COUNT(*) AS c, 5::BIGINT AS cities FROM nation")
+def fk_set_null_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET NULL into a column that must not be null fails as a whole."""
+    e = nations(spark, sf_dir)
+    e.execute("CREATE TABLE city (id INTEGER, nation INTEGER NOT NULL, FOREIGN KEY (nation) REFERENCES nation_t (n_nationkey) ON DELETE SET NULL)")
+    e.execute("INSERT INTO city SELECT n_nationkey, n_nationkey FROM nation WHERE n_nationkey < 5")
+    rejected = fails(ConstraintViolation, e.execute, "DELETE FROM nation_t WHERE n_nationkey = 2")
+    cities = e.execute("SELECT COUNT(nation) FROM city").rows()[0][0]
+    return e.table("nation_t").agg(F.lit(rejected).alias("rejected"), F.count("*").alias("c"), F.lit(cities).cast("long").alias("cities"))
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 0 THEN 1 ELSE n_nationkey END AS nation FROM nation WHERE n_nationkey <> 0")
+def fk_set_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = nations(spark, sf_dir)
+    e.execute("CREATE TABLE city (id INTEGER, nation INTEGER DEFAULT 1, FOREIGN KEY (nation) REFERENCES nation_t (n_nationkey) ON DELETE SET DEFAULT)")
+    for part in ("n_nationkey > 0 AND n_regionkey = 0", "n_nationkey > 0 AND n_regionkey <> 0"):
+        e.execute(f"INSERT INTO city SELECT n_nationkey, n_nationkey FROM nation WHERE {part}")
+    before = set(e.schema("city").files)
+    e.execute("DELETE FROM nation_t WHERE n_regionkey = 0 AND n_nationkey <> 1")
+    if not before & set(e.schema("city").files):
+        raise EngineError("files without rows that refer to what was deleted were written anew")
+    return e.execute("SELECT id, nation FROM city").df
+
+
+@query("SELECT TRUE AS rejected, n_nationkey AS id FROM nation WHERE n_nationkey < 5")
+def upsert_referrer_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DO UPDATE must not take a key away that other rows refer to."""
+    e = engine(spark, sf_dir, "nation")
+    e.execute("CREATE TABLE p (id INTEGER PRIMARY KEY, code INTEGER UNIQUE)")
+    e.execute("CREATE TABLE c (id INTEGER, code INTEGER REFERENCES p (code))")
+    e.execute("INSERT INTO p SELECT n_nationkey, n_nationkey FROM nation WHERE n_nationkey < 5")
+    e.execute("INSERT INTO c VALUES (1, 3)")
+    rejected = fails(ConstraintViolation, e.execute, "INSERT INTO p VALUES (3, 77) ON CONFLICT (id) DO UPDATE SET code = EXCLUDED.code")
+    return e.execute("SELECT code AS id FROM p").df.withColumn("rejected", F.lit(rejected))
+
+
+@query("SELECT n_nationkey, n_name || chr(10) || '\"two\", lines' AS n_name FROM nation")
+def import_csv_quoted_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark) + "/lines.csv"
+    io.export_csv(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.concat("n_name", F.lit('\n"two", lines')).alias("n_name")), path)
+    return io.import_csv(spark, path, "n_nationkey:INTEGER,n_name:TEXT")
+
+
+@query("SELECT COUNT(*) AS names, COUNT(*) AS placed, 4::BIGINT AS shards FROM (SELECT DISTINCT c_name FROM customer)")
+def shard_hash_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of any type: equal ones share a shard, and all shards are used."""
+    placed = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_name", hash_shard(F.col("c_name"), 4).alias("shard"))
+    return placed.agg(F.count_distinct("c_name").alias("names"), F.count_distinct("c_name", "shard").alias("placed"), F.count_distinct("shard").alias("shards"))
+
+
+@query("SELECT TRUE AS differ, 0 AS hits, 0 AS kept, COUNT(*) AS c FROM nation")
+def cache_leaves_out_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "nation", cache=ResultCache())
+    a, b = (e.execute("SELECT rand() AS r FROM nation").rows() for _ in range(2))
+    e.execute("SELECT now() AS t")
+    found = (F.lit(a != b).alias("differ"), F.lit(e.cache.hits).alias("hits"), F.lit(len(e.cache)).alias("kept"))
+    return e.attached["nation"].agg(*found, F.count("*").alias("c"))
+
+
+@query("SELECT 2 AS entries, 1 AS evictions, 3 AS insertions, 1 AS hits, 3 AS misses")
+def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "nation", cache=ResultCache(max_entries=2))
+    for k in (1, 2, 1, 3):
+        e.execute(f"SELECT COUNT(*) AS c FROM nation WHERE n_regionkey = {k}")
+    s = e.cache.stats()
+    return spark.createDataFrame([tuple(s[k] for k in ("entries", "evictions", "insertions", "hits", "misses"))], "entries int, evictions int, insertions int, hits int, misses int")
+
+
+@query("SELECT 1 AS dropped, 0 AS again, 0::BIGINT AS left_over")
+def index_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = nations(spark, sf_dir)
+    e.execute("CREATE INDEX by_region ON nation_t (n_regionkey)")
+    counts = [e.execute("DROP INDEX IF EXISTS by_region").affected_rows for _ in range(2)]
+    return e.execute("SHOW INDEXES").df.agg(F.lit(counts[0]).alias("dropped"), F.lit(counts[1]).alias("again"), F.count("*").alias("left_over"))
+
+
+@query("SELECT n_nationkey, n_regionkey FROM nation")
+def index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = nations(spark, sf_dir)
+    e.execute("CREATE INDEX by_region ON nation_t USING GIN (n_regionkey)")
+    return e.index("by_region").scan().select("n_nationkey", "n_regionkey")
+
+
+@query("SELECT COUNT(*) AS entries, 64 * COUNT(*) AS size, 2 AS lookups, 2 AS inserts, 1 AS deletes FROM (SELECT n_nationkey FROM nation UNION ALL SELECT 99)")
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = nations(spark, sf_dir)
+    e.execute("CREATE INDEX by_region ON nation_t (n_regionkey)")
+    e.execute("INSERT INTO nation_t VALUES (98, 'X', 1), (99, 'Y', 1)")
+    e.execute("DELETE FROM nation_t WHERE n_nationkey = 98")
+    e.index("by_region").get(1)
+    e.index("by_region").range(1, 2)
+    s = e.index("by_region").stats()
+    return spark.createDataFrame([tuple(s[k] for k in ("entries", "size", "lookups", "inserts", "deletes"))], "entries long, size long, lookups int, inserts int, deletes int")
+
+
+@query("SELECT n_nationkey FROM nation UNION ALL SELECT -1")
+def ddl_drop_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = nations(spark, sf_dir)
+    e.execute("ALTER TABLE nation_t ADD CONSTRAINT positive CHECK (n_nationkey >= 0)")
+    if not fails(ConstraintViolation, e.execute, "INSERT INTO nation_t VALUES (-1, 'X', 0)"):
+        raise EngineError("the constraint did not hold")
+    e.execute("ALTER TABLE nation_t DROP CONSTRAINT positive")
+    e.execute("INSERT INTO nation_t VALUES (-1, 'X', 0)")
+    return e.execute("SELECT n_nationkey FROM nation_t").df
+
+
+@query("SELECT level, COUNT(*) AS c FROM nation, (VALUES ('READ UNCOMMITTED'), ('READ COMMITTED'), ('REPEATABLE READ'), ('SERIALIZABLE'), ('SNAPSHOT')) v(level) GROUP BY level")
+def txn_isolation_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All levels read the snapshot that the transaction began with."""
+    e, found = nations(spark, sf_dir), []
+    for i, level in enumerate(("READ UNCOMMITTED", "READ COMMITTED", "REPEATABLE READ", "SERIALIZABLE", "SNAPSHOT")):
+        reader = Engine(spark, e.warehouse)
+        reader.execute(f"BEGIN TRANSACTION ISOLATION LEVEL {level}")
+        e.execute(f"INSERT INTO nation_t VALUES ({100 + i}, 'X', 1)")
+        found.append((level, reader.execute("SELECT COUNT(*) FROM nation_t").rows()[0][0]))
+        reader.execute("ROLLBACK")
+        e.execute(f"DELETE FROM nation_t WHERE n_nationkey = {100 + i}")
+    return spark.createDataFrame(found, "level string, c long")
+
+
+@query("SELECT TRUE AS late, COUNT(*) AS c FROM nation")
+def txn_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = [0.0]
+    e = engine(spark, sf_dir, "nation", transaction_seconds=10.0, clock=lambda: now[0])
+    e.execute(NATION)
+    e.execute("INSERT INTO nation_t SELECT n_nationkey, n_name, n_regionkey FROM nation")
+    e.script("BEGIN; DELETE FROM nation_t")
+    now[0] = 11.0
+    late = fails(TransactionError, e.execute, "COMMIT")
+    return e.table("nation_t").agg(F.lit(late).alias("late"), F.count("*").alias("c"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_type <> 'error') v WHERE rn = 1")
+def mvcc_collect_garbage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", (F.col("event_type") != "error").alias("committed"))
+    return mvcc.collect_garbage(events, ["user_id"], "event_id", "committed", active=0).select("user_id", "event_id")
+
+
+@query("""
+SELECT step, ROUND(CAST(cost AS DOUBLE), 6) AS cost FROM (SELECT COUNT(*) AS n FROM orders) o, LATERAL (VALUES
+  ('SeqScan', 1.5 * n * 0.01 * 0.5), ('IndexScan', 1.3 * (FLOOR(n * 0.1) * 4.0 + n * 0.01)), ('Sort', n * LOG2(n) * 0.01), ('Unknown', 15.0)) v(step, cost)
+""")
+def plan_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.functions.statistics import TableStats
+
+    s, n = Statistics(), spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    s.update("orders", TableStats(n, 0))
+    costs = {"SeqScan": s.cost("SeqScan", "orders", 0.5).total, "IndexScan": s.cost("IndexScan", "orders").total, "Sort": s.sort(n), "Unknown": s.cost("Filter", "orders").total}
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in costs.items()], "step string, cost double")
+
+
+@query("SELECT * FROM (VALUES ('a', '=', TRUE), ('a', '>=', TRUE), ('a', 'LIKE', FALSE), ('b', '=', FALSE)) t(col, op, usable)")
+def index_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = [("a", "="), ("a", ">="), ("a", "LIKE"), ("b", "=")]
+    return spark.createDataFrame([(c, o, Statistics.can_use_index(c, o, ["a", "b"])) for c, o in cases], "col string, op string, usable boolean")
+
+
+@query("SELECT * FROM (VALUES ('one', 1), ('two', 2)) t(name, executions)")
+def prepared_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "nation")
+    e.script("PREPARE one AS SELECT $1 AS a; PREPARE two AS SELECT $1 + $2 AS a; PREPARE gone AS SELECT 1 AS a; EXECUTE one(1); EXECUTE two(1, 2); EXECUTE two(3, 4); DEALLOCATE gone")
+    return spark.createDataFrame([(n, e.prepared.get(n).executions) for n in e.prepared.list()], "name string, executions int")
+
+
+@query("SELECT event_type, DATE_TRUNC('day', ts) AS day, COUNT(*) AS n FROM events GROUP BY 1, 2")
+def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.streaming.ingest import windowed_counts
+
+    name = f"counts_{uuid.uuid4().hex}"
+    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/event[s].parquet")
+    counts = windowed_counts(source.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day", "1 hour")
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
+
+
+@query("SELECT CAST(COUNT(*) AS INTEGER) AS n, CAST(CEIL(COUNT(*) / 7.0) AS INTEGER) AS pages, 5 AS first FROM nation")
+def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in pages of seven rows, and at most five of them."""
+    e = engine(spark, sf_dir, "nation")
+    pages = list(io.pages(e.execute("SELECT n_nationkey FROM nation").df, 7))
+    first = e.fetch("SELECT n_nationkey FROM nation", max_rows=5, timeout=300)
+    return spark.createDataFrame([(sum(len(rows) for rows, _ in pages), len(pages), len(first))], "n int, pages int, first int")
+
+
+@query("SELECT n_nationkey, n_nationkey * 2 + 1 AS odd FROM nation")
+def function_of_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.functions import pandas_udf
+
+    spark.udf.register("twice_and_one", pandas_udf(lambda s: s * 2 + 1, "int"))
+    return engine(spark, sf_dir, "nation").execute("SELECT n_nationkey, twice_and_one(n_nationkey) AS odd FROM nation").df
+
+
+@query("SELECT * FROM (VALUES ('nation'), ('nation_t')) t(name)")
+def list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nations(spark, sf_dir).execute("SHOW TABLES").df
+
+
+@query("SELECT '│ ' || r_regionkey || ' │ ' || rpad(r_name, CAST(w AS INTEGER), ' ') || ' │' AS line FROM region, (SELECT GREATEST(MAX(length(r_name)), 6) AS w FROM region)")
+def console_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = io.console_table(spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("k"), "r_name")).split("\n")
+    return spark.createDataFrame([(x,) for x in lines[3:-1]], "line string")
+
+
+@query("SELECT * FROM (VALUES ('1 row(s) affected'), ('2 row(s) affected'), ('error')) t(line)")
+def command_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements over several lines, and an error after which the prompt goes on."""
+    from lakemill.__main__ import prompt
+
+    said: list[str] = []
+    prompt(engine(spark, sf_dir), ["CREATE TABLE t\n", "(a INTEGER);\n", "NONSENSE;\n", "INSERT INTO t VALUES (1), (2);\n", "\\q\n", "DROP TABLE t;\n"], 10, said.append)
+    return spark.createDataFrame([(x.split(":")[0],) for x in said if "affected" in x or x.startswith("error")], "line string")
+
+
+@query("SELECT * FROM (VALUES ('compression', 'lz4'), ('shuffle_partitions', '64')) t(name, value)")
+def configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.config import load
+
+    c = load([], {"LAKEMILL_COMPRESSION": "lz4", "LAKEMILL_SHUFFLE_PARTITIONS": "64"})
+    return spark.createDataFrame([("compression", c.compression), ("shuffle_partitions", str(c.shuffle_partitions))], "name string, value string")
+
+
+@query("SELECT n_nationkey, upper(n_name) AS n_name FROM nation WHERE n_regionkey <> 1")
+def format_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "nation", format="orc")
+    e.execute(NATION)
+    e.execute("INSERT INTO nation_t SELECT n_nationkey, n_name, n_regionkey FROM nation")
+    e.script("DELETE FROM nation_t WHERE n_regionkey = 1; UPDATE nation_t SET n_name = upper(n_name)")
+    return e.execute("SELECT n_nationkey, n_name FROM nation_t").df
+
+
+@query("SELECT TRUE AS planned, TRUE AS timed")
+def explain_and_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "nation")
+    text = e.execute("EXPLAIN SELECT n_name FROM nation WHERE n_regionkey = 1").rows()[0][0]
+    timed = e.profile("SELECT n_name FROM nation", 2)
+    return spark.createDataFrame([("PushedFilters" in text, len(timed) == 2 and min(timed) > 0)], "planned boolean, timed boolean")
+
+
+@query("SELECT 'orders' AS table_name, 'o_custkey' AS column_name, COUNT(*) AS row_count, COUNT(DISTINCT o_custkey) AS distinct_count, 0::BIGINT AS null_count, CAST(MIN(o_custkey) AS VARCHAR) AS min_value, CAST(MAX(o_custkey) AS VARCHAR) AS max_value FROM orders")
+def stats_analyze_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "orders")
+    return e.execute("ANALYZE TABLE orders").df.where("column_name = 'o_custkey'").select("table_name", "column_name", "row_count", "distinct_count", "null_count", "min_value", "max_value")

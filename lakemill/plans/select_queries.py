@@ -294,6 +294,126 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         'SELECT o_orderkey, o_custkey, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS rn FROM orders',
     ),
     # J3
+    "join_left_outer": (
+        "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P'",
+        None,
+    ),
+    # J3
+    "join_full_outer": (
+        "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM (SELECT * FROM nation WHERE n_nationkey < 15) a FULL OUTER JOIN (SELECT * FROM nation WHERE n_nationkey > 8) b ON a.n_nationkey = b.n_nationkey",
+        None,
+    ),
+    # J3
+    "join_anti": (
+        "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+        None,
+    ),
+    # J3
+    "join_theta": (
+        "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+        None,
+    ),
+    # J3
+    "join_range": (
+        "SELECT s.band, COUNT(*) AS c FROM (VALUES (1, 0, 50000), (2, 50000, 150000), (3, 150000, 1000000)) AS s(band, low, high) JOIN orders o ON o.o_totalprice >= s.low AND o.o_totalprice < s.high GROUP BY s.band",
+        None,
+    ),
+    # J3
+    "join_lateral": (
+        "SELECT r.r_name, l.first_name FROM region r JOIN LATERAL (SELECT MIN(n.n_name) AS first_name FROM nation n WHERE n.n_regionkey = r.r_regionkey) l ON TRUE",
+        None,
+    ),
+    # P12
+    "select_without_from": (
+        "SELECT 1 AS welcome, 'x' AS s",
+        None,
+    ),
+    # F10
+    "filter_bare_boolean": (
+        "SELECT o_orderkey FROM (SELECT o_orderkey, o_orderstatus = 'F' AS done FROM orders) o WHERE done",
+        None,
+    ),
+    # A14
+    "group_by_rollup": (
+        "SELECT l_returnflag, l_linestatus, COUNT(*) AS c FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+        None,
+    ),
+    # A14
+    "group_by_cube": (
+        "SELECT l_returnflag, l_linestatus, COUNT(*) AS c FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+        None,
+    ),
+    # A14
+    "grouping_sets": (
+        "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS c FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+        None,
+    ),
+    # W3
+    "subquery_scalar": (
+        "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT MAX(o_totalprice) * 0.9 FROM orders)",
+        None,
+    ),
+    # W3
+    "subquery_in": (
+        "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name < 'C')",
+        None,
+    ),
+    # W4
+    "window_ranks": (
+        "SELECT n_nationkey, RANK() OVER (ORDER BY n_regionkey) AS r, DENSE_RANK() OVER (ORDER BY n_regionkey) AS d, NTILE(4) OVER (ORDER BY n_nationkey) AS q FROM nation",
+        "SELECT n_nationkey, CAST(RANK() OVER (ORDER BY n_regionkey) AS INTEGER) AS r, CAST(DENSE_RANK() OVER (ORDER BY n_regionkey) AS INTEGER) AS d, CAST(NTILE(4) OVER (ORDER BY n_nationkey) AS INTEGER) AS q FROM nation",
+    ),
+    # W4
+    "window_lag_lead": (
+        "SELECT o_orderkey, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, LEAD(o_orderkey, 1, -1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS after FROM orders",
+        None,
+    ),
+    # W4
+    "window_frame": (
+        "SELECT o_orderkey, SUM(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM orders",
+        "SELECT o_orderkey, CAST(SUM(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM orders",
+    ),
+    # 2.9
+    "set_union_all": (
+        "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region",
+        None,
+    ),
+    # 2.9
+    "set_union": (
+        "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey + 3 FROM region",
+        None,
+    ),
+    # 2.9
+    "set_intersect": (
+        "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
+        None,
+    ),
+    # 2.9
+    "set_except": (
+        "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+        None,
+    ),
+    # 2.9
+    "set_except_all": (
+        "SELECT n_regionkey AS k FROM nation EXCEPT ALL SELECT r_regionkey FROM region",
+        None,
+    ),
+    # M15
+    "select_top": (
+        "SELECT TOP 7 o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey",
+        "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 7",
+    ),
+    # M15
+    "select_top_nested": (
+        "SELECT COUNT(*) AS c, MAX(k) AS m FROM (SELECT DISTINCT TOP 3 n_regionkey AS k FROM nation ORDER BY k) t",
+        "SELECT COUNT(*) AS c, MAX(k) AS m FROM (SELECT DISTINCT n_regionkey AS k FROM nation ORDER BY k LIMIT 3) t",
+    ),
+    # M15
+    "select_distribute_by": (
+        "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P' DISTRIBUTE BY (o_custkey)",
+        "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P'",
+    ),
+    # J3
     "wc_semi_join": (
         'SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)',
         None,

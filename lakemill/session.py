@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import copy
+import itertools
+import threading
+import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -9,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lakemill.catalog import Catalog, State, Table
 from lakemill.dialect import Cursor, split, statement_type, to_spark, tokens
-from lakemill.errors import CatalogError, ParseError, TransactionError
+from lakemill.errors import CatalogError, EngineError, ParseError, TransactionError
 from lakemill.operators import ddl, dml
-from lakemill.operators.index import IndexHandle
+from lakemill.operators.constraints import check, check_change
+from lakemill.operators.index import IndexHandle, new_counts
 from lakemill.plans.cache import ResultCache
 from lakemill.plans.prepared import PreparedStatements
 
@@ -41,15 +48,24 @@ class Engine:
     """Tables below ``warehouse``, with SQL over them and over attached DataFrames.
 
     Statements commit one by one, or together between BEGIN and COMMIT; readers see the state their statement or
-    transaction began with. Tables appear to Spark as temporary views of their names.
+    transaction began with. Tables appear to Spark as temporary views of their names. ``format``: of the files of new
+    tables, "parquet" or "orc". A transaction that has been open for ``transaction_seconds`` is rolled back at its next
+    statement, or by cleanup().
     """
 
-    def __init__(self, spark: SparkSession, warehouse: str, cache: ResultCache | None = None):
-        self.spark, self.warehouse = spark, warehouse.rstrip("/")
+    def __init__(self, spark: SparkSession, warehouse: str, cache: ResultCache | None = None, format: str = "parquet", transaction_seconds: float | None = None, clock: Callable[[], float] = time.monotonic):
+        if format not in ("parquet", "orc"):
+            raise EngineError(f"unknown format {format}")
+        self.spark, self.warehouse, self.format = spark, warehouse.rstrip("/"), format
+        self.transaction_seconds, self.clock = transaction_seconds, clock
         self.catalog = Catalog(spark, self.warehouse)
         self.prepared = PreparedStatements()
         self.cache = cache
         self.attached: dict[str, DataFrame] = {}
+        self.index_counts: dict[str, dict[str, int]] = {}
+        self._numbers = itertools.count(1)
+        self._attachment: dict[str, int] = {}
+        self._began = 0.0
         self._base: State | None = None  # of the open transaction
         self._state: State | None = None
         self._isolation = "SNAPSHOT"
@@ -66,12 +82,23 @@ class Engine:
         return self._state is not None
 
     def tables(self) -> list[str]:
-        return sorted([t.name for t in self.state.tables.values()] + list(self.attached))
+        return sorted([t.name for t in self.state.tables.values() if t.query is None] + list(self.attached))
+
+    def views(self) -> list[str]:
+        return sorted(t.name for t in self.state.tables.values() if t.query is not None)
 
     def table(self, name: str) -> DataFrame:
+        """The rows of a table, a view or an attached DataFrame."""
         if name.lower() in self.attached:
             return self.attached[name.lower()]
-        return self.state.table(name).read(self.spark)
+        return self._rows(self.state, self.state.table(name), frozenset())
+
+    def _rows(self, state: State, table: Table, above: frozenset[str]) -> DataFrame:
+        if not table.is_view:
+            return table.read(self.spark)
+        if table.name.lower() in above:
+            raise CatalogError(f"view {table.name} reads itself")
+        return self._sql(table.query, None, state, above | {table.name.lower()}).toDF(*(c.name for c in table.columns))
 
     def schema(self, name: str) -> Table:
         return self.state.table(name)
@@ -79,6 +106,7 @@ class Engine:
     def attach(self, name: str, df: DataFrame) -> None:
         """Make a DataFrame readable as a table; it can't be written to."""
         self.attached[name.lower()] = df
+        self._attachment[name.lower()] = next(self._numbers)
 
     def read_at(self, name: str, version: int) -> DataFrame:
         """The table as of a catalog version."""
@@ -108,6 +136,7 @@ class Engine:
         if isinstance(params, (list, tuple)):
             params = {f"p{i}": v for i, v in enumerate(params, 1)}
         kind = statement_type(sql)
+        self._alive()
         if kind == "Query":
             return self._query(sql, params or {})
         if params:
@@ -126,6 +155,8 @@ class Engine:
         c = Cursor(sql)
         if c.take("SHOW", "TABLES"):
             return Result("Query", self.spark.createDataFrame([(t,) for t in self.tables()], "name string"))
+        if c.take("SHOW", "VIEWS"):
+            return Result("Query", self.spark.createDataFrame([(v,) for v in self.views()], "name string"))
         if c.take("SHOW", "INDEXES"):
             found = [(i.name, i.table, i.columns, i.unique, i.method) for t in self.state.tables.values() for i in t.indexes]
             return Result("Query", self.spark.createDataFrame(found, "name string, table string, columns array<string>, unique boolean, method string"))
@@ -139,19 +170,69 @@ class Engine:
         return Result("Query", self.sql(sql, params))
 
     def _versions(self, sql: str) -> dict[str, int]:
-        state, words = self.state, {t.name.lower() for t in tokens(sql) if t.kind in ("word", "quoted")}
-        return {n: t.version for n, t in state.tables.items() if n in words} | {n: id(df) for n, df in self.attached.items() if n in words}
+        """What a query's result depends on: versions of tables, also of those that its views read, and attachments."""
+        state, found, left = self.state, {}, [sql]
+        while left:
+            for name in _words(left.pop()) - found.keys():
+                if name in state.tables:
+                    found[name] = state.tables[name].version
+                    if state.tables[name].is_view:
+                        left.append(state.tables[name].query)
+                elif name in self._attachment:
+                    found[name] = -self._attachment[name]
+        return found
 
     def sql(self, sql: str, params: dict[str, Any] | None = None) -> DataFrame:
         """A query's DataFrame. Names of tables that occur in it are bound to views of this engine's state."""
-        state, words = self.state, {t.name.lower() for t in tokens(sql) if t.kind in ("word", "quoted")}
-        for name in words:
-            if name in state.tables:
-                state.tables[name].read(self.spark).createOrReplaceTempView(_quoted(name))
-            elif name in self.attached:
-                self.attached[name].createOrReplaceTempView(_quoted(name))
+        return self._sql(sql, params, self.state, frozenset())
+
+    def _sql(self, sql: str, params: dict[str, Any] | None, state: State, above: frozenset[str]) -> DataFrame:
+        bound = {n: self._rows(state, state.tables[n], above) if n in state.tables else self.attached[n] for n in _words(sql) if n in state.tables or n in self.attached}
+        for name, rows in bound.items():  # all of them after the views among them, which bind the same names
+            rows.createOrReplaceTempView(_quoted(name))
         return self.spark.sql(to_spark(sql), args=params or None)
 
+    def fetch(self, sql: str, params: dict[str, Any] | list[Any] | None = None, timeout: float | None = None, max_rows: int | None = None, tag: str | None = None) -> list[tuple]:
+        """A query's rows, ``max_rows`` at most. EngineError if it takes more than ``timeout`` seconds, or if cancel() is
+        called with its ``tag``."""
+        tag, stopped = tag or f"lakemill-{uuid.uuid4().hex}", threading.Event()
+        sc = self.spark.sparkContext
+
+        def stop() -> None:
+            stopped.set()
+            sc.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(timeout, stop) if timeout is not None else None
+        sc.addJobTag(tag)
+        try:
+            if timer:
+                timer.start()
+            df = self.execute(sql, params).df
+            return [tuple(r) for r in (df if max_rows is None else df.limit(max_rows)).collect()]
+        except Exception as e:
+            if stopped.is_set():
+                raise EngineError(f"the query took more than {timeout} seconds") from e
+            if "cancelled" in str(e).lower():
+                raise EngineError("the query was cancelled") from e
+            raise
+        finally:
+            if timer:
+                timer.cancel()
+            sc.removeJobTag(tag)
+
+    def cancel(self, tag: str) -> None:
+        """Stop the jobs of the queries that fetch() runs under ``tag``."""
+        self.spark.sparkContext.cancelJobsWithTag(tag)
+
+    def profile(self, sql: str, iterations: int = 3) -> list[float]:
+        """Seconds of each of some runs of a query, whose rows go nowhere."""
+        seconds = []
+        for _ in range(iterations):
+            began = time.perf_counter()
+            self.sql(sql).write.format("noop").mode("overwrite").save()
+            seconds.append(time.perf_counter() - began)
+        return seconds
+
     def _change(self, kind: str, sql: str) -> Result:
         base = self._base if self.in_transaction else self.catalog.load()
         state = (self._state if self.in_transaction else base).copy()
@@ -160,42 +241,115 @@ class Engine:
         if c.peek() == "INSERT":
             n, df = dml.insert(self.spark, c, state, writer, self.sql)
         elif c.peek() == "UPDATE":
-            n, df = dml.update(self.spark, c, state, writer)
+            n, df = dml.update(self.spark, c, state, writer, self.sql)
         elif c.peek() == "DELETE":
             n, df = dml.delete(self.spark, c, state, writer)
         elif c.take("CREATE", "TABLE"):
-            n = ddl.create_table(c, state)
+            n = ddl.create_table(c, state, self.format)
         elif c.take("CREATE", "UNIQUE", "INDEX"):
             n = self._indexed(c, state, True)
         elif c.take("CREATE", "INDEX"):
             n = ddl.create_index(c, state, False)
+        elif c.peek() == "CREATE":
+            n = self._view(c, state, writer)
+        elif c.take("REFRESH", "MATERIALIZED", "VIEW"):
+            view = state.table(c.name())
+            c.end()
+            if not view.materialized:
+                raise CatalogError(f"{view.name} is not a materialized view")
+            n = self._filled(view, writer)
+        elif c.take("DROP", "MATERIALIZED", "VIEW"):
+            n = ddl.drop_view(c, state, True)
+        elif c.take("DROP", "VIEW"):
+            n = ddl.drop_view(c, state, False)
+        elif c.take("TRUNCATE"):
+            n = dml.truncate(self.spark, c, state)
+        elif c.take("VACUUM"):
+            if c.peek():
+                state.table(c.name())
+            c.end()
+            return Result(kind, None, self.vacuum())
         elif c.take("DROP", "TABLE"):
             n = ddl.drop_table(c, state)
         elif c.take("DROP", "INDEX"):
             n = ddl.drop_index(c, state)
         elif c.take("ALTER", "TABLE"):
-            name = c.found[c.i].name
-            n = ddl.alter_table(c, state)
-            if name.lower() in state.tables:
-                dml.check(self.spark, state, state.table(name), state.table(name).read(self.spark), added_only=False)
+            before = copy.deepcopy(state.table(c.found[c.i].name))
+            check_change(self.spark, state, before, ddl.alter_table(c, state))
+            n = 1
         elif c.take("ANALYZE", "TABLE"):
             from lakemill.functions.statistics import Statistics
 
             name = c.name()
-            return Result(kind, Statistics.collect({name: self.table(name)}).as_df(self.spark), 1)
+            exact = not c.take("ESTIMATE")
+            c.end()
+            return Result(kind, Statistics.collect({name: self.table(name)}, exact=exact).as_df(self.spark), 1)
         else:
             raise ParseError(f"unknown statement: {sql}")
         if self.in_transaction:
             self._state = state
         elif state != base:
             self.catalog.commit(base, state)
+        if kind == "DML" and n:
+            self._count(state, sql, n)
+        if df is None:  # else the rows that the statement returns may still read it
+            writer.clean()
         return Result(kind, df, n)
 
+    def _count(self, state: State, sql: str, n: int) -> None:
+        """Add what a statement changed to the counters of its table's indexes."""
+        c = Cursor(sql)
+        verb = c.next().upper
+        if verb != "UPDATE":
+            c.next()  # INTO or FROM
+        for i in state.table(c.name()).indexes:
+            counts = self.index_counts.setdefault(i.name.lower(), new_counts())
+            counts["inserts"] += n if verb != "DELETE" else 0
+            counts["deletes"] += n if verb != "INSERT" else 0
+
     def _indexed(self, c: Cursor, state: State, unique: bool) -> int:
+        before = state.copy()
         n = ddl.create_index(c, state, unique)
-        for t in state.tables.values():
-            if any(i.unique for i in t.indexes):
-                dml.check(self.spark, state, t, t.read(self.spark), added_only=False)
+        for name, t in state.tables.items():
+            if len(t.indexes) > len(before.tables[name].indexes):
+                check_change(self.spark, state, before.tables[name], t)
+        return n
+
+    def _view(self, c: Cursor, state: State, writer: dml.Writer) -> int:
+        """CREATE [OR REPLACE] [MATERIALIZED] VIEW name [(columns)] AS query."""
+        c.expect("CREATE")
+        replace = c.take("OR", "REPLACE")
+        materialized = c.take("MATERIALIZED")
+        c.expect("VIEW")
+        quiet = c.take("IF", "NOT", "EXISTS")
+        name = c.name()
+        names = c.names() if c.peek() == "(" else None
+        c.expect("AS")
+        query = c.text()
+        c.end()
+        if quiet and name.lower() in state.tables:
+            return 0
+        view = ddl.view(name, query, self.sql(query).schema, names, state, materialized, replace)
+        if materialized:
+            view.format = self.format
+            self._filled(view, writer)
+        else:
+            self._rows(state, view, frozenset())  # a view that comes to read itself is an error now, not later
+        return 1
+
+    def _filled(self, view: Table, writer: dml.Writer) -> int:
+        """Write a materialized view's rows anew; how many."""
+        rows = self.sql(view.query).toDF(*(c.name for c in view.columns))
+        view.files, n = writer.write(view, rows)
+        return n
+
+    def vacuum(self, older_than: float = 86_400.0) -> int:
+        """Drop old versions as collect_garbage() does, and what statements that never ended have left: staged tables,
+        and data files that no version lists, once they are ``older_than`` seconds old. How many versions went."""
+        if self.in_transaction:
+            raise TransactionError("VACUUM within a transaction")
+        n = self.collect_garbage()
+        self.catalog.sweep(older_than)
         return n
 
     def _transaction(self, c: Cursor) -> Result:
@@ -222,19 +376,33 @@ class Engine:
 
     def begin(self) -> int:
         """Open a transaction on the latest version, which is returned. All isolation levels are snapshots."""
+        self.cleanup()
         if self.in_transaction:
             raise TransactionError("a transaction is open")
+        self._began = self.clock()
         self._base = self.catalog.load()
         self._state = self._base.copy()
         return self._base.version
 
     def commit(self) -> int:
         """Commit what the transaction did as one version; WriteConflict, and nothing is kept, if another was first."""
+        self._alive()
         if not self.in_transaction:
             raise TransactionError("no transaction is open")
         base, state, self._base, self._state = self._base, self._state, None, None
         return self.catalog.commit(base, state).version if state != base else base.version
 
+    def cleanup(self) -> bool:
+        """Roll back a transaction that has been open for too long; whether there was one."""
+        late = self.in_transaction and self.transaction_seconds is not None and self.clock() - self._began > self.transaction_seconds
+        if late:
+            self.rollback()
+        return late
+
+    def _alive(self) -> None:
+        if self.cleanup():
+            raise TransactionError(f"the transaction was open for more than {self.transaction_seconds} seconds and is rolled back")
+
     def rollback(self) -> None:
         """Forget what the transaction did, and delete the files that only it wrote."""
         if not self.in_transaction:
@@ -273,7 +441,7 @@ class Engine:
         for t in self.state.tables.values():
             for i in t.indexes:
                 if i.name.lower() == name.lower():
-                    return IndexHandle(i, t.read(self.spark))
+                    return IndexHandle(i, t.read(self.spark), self.index_counts.setdefault(i.name.lower(), new_counts()))
         raise CatalogError(f"index {name} does not exist")
 
     def optimize(self, name: str, columns: list[str]) -> int:
@@ -294,7 +462,7 @@ class Engine:
         """
         base = self._base if self.in_transaction else self.catalog.load()
         state = (self._state if self.in_transaction else base).copy()
-        table = state.table(name)
+        table = dml.writable(state, name)
         if batch is not None:
             if table.batches.get(batch[0], -1) >= batch[1]:
                 return 0
@@ -303,14 +471,20 @@ class Engine:
         rows = dml.full_rows(self.spark, table, writer, df, df.columns)
         files, n = writer.write(table, rows)
         table.files += files
-        dml.check(self.spark, state, table, table.read(self.spark, files), added_only=True)
+        check(self.spark, state, table, table.read(self.spark, files))
         if self.in_transaction:
             self._state = state
         else:
             self.catalog.commit(base, state)
+        writer.clean()
         return n
 
 
+def _words(sql: str) -> set[str]:
+    """Words of a statement in lower case, the names of tables among them."""
+    return {t.name.lower() for t in tokens(sql) if t.kind in ("word", "quoted")}
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -18,11 +18,13 @@ TRUE = ("true", "t", "yes", "y", "1")
 FALSE = ("false", "f", "no", "n", "0")
 
 
-def import_csv(spark: SparkSession, path: str, columns: str | list[tuple[str, str]], header: bool = True, delimiter: str = ",", quote: str = '"', skip_rows: int = 0, null_value: str = "") -> DataFrame:
+def import_csv(spark: SparkSession, path: str, columns: str | list[tuple[str, str]], header: bool = True, delimiter: str = ",", quote: str = '"', skip_rows: int = 0, null_value: str = "", multiline: bool = True) -> DataFrame:
     """A CSV file with the columns of a specification ("name:type,..."). Empty fields and ``null_value`` are null.
 
     Every row must have a field for each column, of its type: ImportFailed, raised as the rows are read, if not.
     ``skip_rows`` rows after the header are left out, of one file, by their place in its first partition.
+    Quoted fields may hold line breaks; ``multiline=False`` is for files that have none, which Spark then reads in
+    parallel parts, where it otherwise has one task for each file.
     """
     schema = import_schema(columns)
     # Fields are read as text and cast, so that a bad value and a wrong number of fields are told apart from nulls.
@@ -31,7 +33,7 @@ def import_csv(spark: SparkSession, path: str, columns: str | list[tuple[str, st
         spark.read.schema(raw)
         .option("header", header and not skip_rows).option("sep", delimiter).option("quote", quote).option("escape", quote)
         .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", False).option("enforceSchema", True)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", multiline).option("enforceSchema", True)
         .csv(path)
     )
     first = skip_rows + int(header)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -23,6 +24,11 @@ class Files:
         fs, p = self._at(folder)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def age(self, path: str) -> float:
+        """Seconds since the last change of a file or of a folder's entries."""
+        fs, p = self._at(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

@@ -259,3 +259,142 @@ def test_optimize_sorts_files(engine):
     engine.execute("INSERT INTO o SELECT id FROM range(1000)")
     assert engine.optimize("o", ["k"]) == 1000
     assert engine.execute("SELECT COUNT(*), SUM(k) FROM o").rows() == [(1000, 499500)]
+
+
+def test_update_from(engine):
+    engine.script(f"{USERS}; {THREE}; CREATE TABLE extra (id INTEGER, add_age INTEGER); INSERT INTO extra VALUES (1, 5), (3, 7), (9, 1)")
+    got = engine.execute("UPDATE users SET age = users.age + e.add_age FROM extra e WHERE e.id = users.id AND e.add_age > 5 RETURNING id, age")
+    assert got.changed == 1 and rows(got) == [(3, 42)]
+    assert engine.execute("UPDATE users u SET age = 0 FROM extra e WHERE e.id = u.id AND e.add_age > 100").affected_rows == 0
+    engine.execute("INSERT INTO extra VALUES (1, 6)")
+    with pytest.raises(ParseError):
+        engine.execute("UPDATE users SET age = add_age FROM extra WHERE extra.id = users.id")
+    assert engine.execute("UPDATE users AS u SET age = u.age + 1 WHERE u.id = 2").affected_rows == 1
+    assert rows(engine.execute("SELECT id, age FROM users")) == [(1, 30), (2, 26), (3, 42)]
+
+
+def test_truncate_and_vacuum(engine):
+    engine.script(f"{USERS}; {THREE}; CREATE TABLE ref (id INTEGER); DELETE FROM users WHERE id = 1; TRUNCATE users")
+    assert engine.execute("SELECT COUNT(*) FROM users").rows() == [(0,)]
+    engine.execute("INSERT INTO users VALUES (4, 'Dan', 1)")
+    assert engine.execute("VACUUM").affected_rows > 0 and len(engine.catalog.versions()) == 1
+    engine.catalog.sweep(-1.0)  # the folders that the files which went have left
+    engine.catalog.files.write(f"{engine.warehouse}/data/users/lost/part-0.parquet", "x")
+    assert engine.catalog.sweep(3600.0) == 0 and engine.catalog.sweep(-1.0) == 1
+    assert rows(engine.execute("SELECT id FROM users")) == [(4,)]
+    engine.execute("CREATE TABLE p (id INTEGER PRIMARY KEY)")
+    engine.script("CREATE TABLE c (p INTEGER REFERENCES p (id)); INSERT INTO p VALUES (1); INSERT INTO c VALUES (1)")
+    with pytest.raises(ConstraintViolation):
+        engine.execute("TRUNCATE TABLE p")
+
+
+def test_views(engine):
+    engine.script(f"{USERS}; {THREE}; CREATE VIEW old (who) AS SELECT name FROM users WHERE age >= 30; CREATE VIEW older AS SELECT upper(who) AS w FROM old")
+    assert rows(engine.execute("SELECT w FROM older")) == [("ALICE",), ("CHARLIE",)] and engine.views() == ["old", "older"]
+    engine.execute("UPDATE users SET age = 99 WHERE id = 2")
+    assert engine.execute("SELECT COUNT(*) FROM older").rows() == [(3,)]
+    for bad in ("INSERT INTO old VALUES ('x')", "UPDATE old SET who = 'x'", "DELETE FROM old", "TRUNCATE old", "DROP TABLE old", "CREATE VIEW old AS SELECT 1 AS a", "CREATE OR REPLACE VIEW old AS SELECT w AS who FROM older", "REFRESH MATERIALIZED VIEW old", "DROP VIEW users", "ALTER TABLE old ADD COLUMN x INTEGER"):
+        with pytest.raises(CatalogError):
+            engine.execute(bad)
+    engine.execute("CREATE OR REPLACE VIEW old (who) AS SELECT name FROM users WHERE id = 1")
+    assert rows(engine.execute("SELECT w FROM older")) == [("ALICE",)]
+    engine.execute("CREATE MATERIALIZED VIEW held AS SELECT id FROM users")
+    engine.execute("DELETE FROM users WHERE id = 1")
+    assert engine.execute("SELECT COUNT(*) FROM held").rows() == [(3,)]
+    assert engine.execute("REFRESH MATERIALIZED VIEW held").affected_rows == 2
+    engine.script("DROP MATERIALIZED VIEW held; DROP VIEW older; DROP VIEW IF EXISTS older; DROP VIEW old")
+    assert engine.views() == [] and engine.tables() == ["users"]
+
+
+def test_cache_sees_the_tables_of_views(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "t"), cache=ResultCache())
+    e.script(f"{USERS}; {THREE}; CREATE VIEW v AS SELECT id FROM users")
+    assert e.execute("SELECT COUNT(*) FROM v").rows() == [(3,)]
+    e.execute("DELETE FROM users WHERE id = 1")
+    assert e.execute("SELECT COUNT(*) FROM v").rows() == [(2,)]
+    e.attach("x", spark.range(3).toDF("k"))
+    assert e.execute("SELECT COUNT(*) FROM x").rows() == [(3,)]
+    e.attach("x", spark.range(4).toDF("k"))
+    assert e.execute("SELECT COUNT(*) FROM x").rows() == [(4,)]
+
+
+def test_referential_actions_are_checked_and_touch_few_files(engine):
+    engine.execute("CREATE TABLE p (id INTEGER PRIMARY KEY)")
+    engine.execute("CREATE TABLE must (id INTEGER, p INTEGER NOT NULL REFERENCES p (id) ON DELETE SET NULL)")
+    engine.execute("CREATE TABLE may (id INTEGER, p INTEGER DEFAULT 3 REFERENCES p (id) ON DELETE SET DEFAULT)")
+    engine.execute("INSERT INTO p VALUES (1), (2), (3)")
+    engine.execute("INSERT INTO must VALUES (1, 1)")
+    for i in (2, 3):
+        engine.execute(f"INSERT INTO may VALUES ({i}, {i})")
+    with pytest.raises(ConstraintViolation):
+        engine.execute("DELETE FROM p WHERE id = 1")
+    before = set(engine.schema("may").files)
+    engine.execute("DELETE FROM p WHERE id = 2")
+    assert rows(engine.execute("SELECT * FROM may")) == [(2, 3), (3, 3)] and len(before & set(engine.schema("may").files)) == 1
+    with pytest.raises(ConstraintViolation):  # the default itself goes
+        engine.execute("DELETE FROM p WHERE id = 3")
+
+
+def test_renamed_columns_keep_their_constraints(engine):
+    engine.execute("CREATE TABLE p (id INTEGER PRIMARY KEY, age INTEGER, CHECK (age > 0))")
+    engine.execute("CREATE TABLE c (p INTEGER REFERENCES p (id))")
+    engine.script("INSERT INTO p VALUES (1, 5); INSERT INTO c VALUES (1); ALTER TABLE p RENAME COLUMN age TO years; ALTER TABLE p RENAME COLUMN id TO key; ALTER TABLE p RENAME TO people")
+    for bad in ("INSERT INTO people VALUES (2, 0)", "INSERT INTO people VALUES (1, 1)", "DELETE FROM people", "INSERT INTO c VALUES (9)"):
+        with pytest.raises(ConstraintViolation):
+            engine.execute(bad)
+
+
+def test_checks_of_what_an_alter_adds(engine):
+    engine.script("CREATE TABLE t (a INTEGER, b VARCHAR(3)); INSERT INTO t VALUES (1, 'x'), (1, 'y')")
+    for bad in ("ALTER TABLE t ADD CONSTRAINT UNIQUE (a)", "ALTER TABLE t ADD CONSTRAINT c CHECK (a > 1)", "ALTER TABLE t ADD COLUMN d VARCHAR(2) DEFAULT 'long'"):
+        with pytest.raises(ConstraintViolation):
+            engine.execute(bad)
+    engine.script("ALTER TABLE t ADD CONSTRAINT UNIQUE (b); ALTER TABLE t ALTER COLUMN a SET NOT NULL")
+    with pytest.raises(ConstraintViolation):
+        engine.execute("UPDATE t SET b = 'x'")
+
+
+def test_serial_top_and_ranges(engine):
+    engine.execute("CREATE TABLE s (id BIGSERIAL PRIMARY KEY, day DATE, v INTEGER) PARTITION BY RANGE (day)")
+    engine.execute("INSERT INTO s (day, v) VALUES (DATE'2024-01-01', 1), (DATE'2024-02-01', 2)")
+    engine.execute("INSERT INTO s (day, v) VALUES (DATE'2024-03-01', 3)")
+    assert engine.execute("SELECT TOP 2 id, v FROM s ORDER BY id DESC").rows() == [(3, 3), (2, 2)]
+    assert engine.execute("(SELECT TOP 1 v FROM s ORDER BY v) UNION ALL SELECT 9 AS v").affected_rows == 2
+    with pytest.raises(CatalogError):
+        engine.execute("ALTER TABLE s DROP COLUMN day")
+    engine.execute("CREATE TABLE r (k INTEGER, t TEXT) PARTITION BY RANGE (k) (PARTITION a VALUES LESS THAN (10), PARTITION b VALUES LESS THAN MAXVALUE)")
+    engine.execute("INSERT INTO r VALUES (1, 'x'), (10, 'y'), (NULL, 'z')")
+    engine.execute("UPDATE r SET k = 20 WHERE k = 1")
+    assert rows(engine.execute("SELECT * FROM r")) == [(10, "y"), (20, "x"), (None, "z")]
+
+
+def test_options_of_a_query(engine):
+    engine.attach("big", engine.spark.range(10))
+    assert len(engine.fetch("SELECT * FROM big", max_rows=4)) == 4
+    with pytest.raises(EngineError, match="more than"):
+        engine.fetch("SELECT COUNT_IF((a.id + b.id * c.id) % 7 = 3) FROM range(3000000) a CROSS JOIN range(100000) b CROSS JOIN range(1000) c", timeout=1.0)
+    assert len(engine.profile("SELECT * FROM big", 2)) == 2
+
+
+def test_open_transactions_end(spark, tmp_path):
+    now = [0.0]
+    e = Engine(spark, str(tmp_path / "t"), transaction_seconds=5, clock=lambda: now[0])
+    e.execute("CREATE TABLE t (a INTEGER)")
+    e.execute("BEGIN")
+    now[0] = 4.0
+    e.execute("INSERT INTO t VALUES (1)")
+    assert not e.cleanup()
+    now[0] = 6.0
+    with pytest.raises(TransactionError):
+        e.execute("SELECT * FROM t")
+    e.script("BEGIN; INSERT INTO t VALUES (2)")
+    now[0] = 20.0
+    assert e.cleanup() and not e.in_transaction
+    assert e.execute("SELECT COUNT(*) FROM t").rows() == [(0,)]
+
+
+def test_staged_tables_go(engine, tmp_path):
+    engine.execute("CREATE TABLE kv (k INTEGER PRIMARY KEY, v SERIAL)")
+    engine.execute("INSERT INTO kv (k) VALUES (1), (2)")
+    engine.execute("INSERT INTO kv (k) VALUES (2), (3) ON CONFLICT (k) DO NOTHING")
+    assert engine.catalog.files.names(f"{engine.warehouse}/staged") == []

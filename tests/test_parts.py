@@ -162,3 +162,28 @@ def test_versions_and_conflicts(spark):
     a = spark.createDataFrame([(1, "x", "write", 5), (2, "x", "write", 6), (2, "y", "read", 1), (1, "y", "write", 3), (1, "z", "read", 2), (2, "z", "write", 4), (3, "z", "write", 1)], "txn int, key string, kind string, ts int")
     assert sorted((r.conflict_type, r.key, r.other_txn) for r in mvcc.conflicts(a, 1).collect()) == [("ReadWrite", "y", 2), ("WriteRead", "z", 2), ("WriteWrite", "x", 2)]
     assert mvcc.would_conflict(a, 1, "y", True) and not mvcc.would_conflict(a, 1, "y", False)
+
+
+def test_top():
+    assert to_spark("SELECT TOP 3 a FROM t ORDER BY a") == "SELECT a FROM t ORDER BY a LIMIT 3"
+    assert to_spark("SELECT DISTINCT TOP (2) a FROM t UNION SELECT top FROM u") == "SELECT DISTINCT a FROM t LIMIT 2 UNION SELECT top FROM u"
+    assert to_spark("SELECT x FROM (SELECT TOP 1 x FROM (SELECT TOP 2 x FROM t)) WHERE x = 'TOP 3'") == "SELECT x FROM (SELECT x FROM (SELECT x FROM t LIMIT 2 ) LIMIT 1 ) WHERE x = 'TOP 3'"
+
+
+def test_csv_with_line_breaks_comes_back(spark, tmp_path):
+    rows = [(1, 'a\nb'), (2, '"q"\r\n, x'), (3, None), (4, "plain")]
+    io.export_csv(spark.createDataFrame(rows, "id int, t string"), str(tmp_path / "c"))
+    got = io.import_csv(spark, str(tmp_path / "c"), "id:INTEGER,t:TEXT", null_value="NULL").collect()
+    assert sorted((r.id, (r.t or "").replace("\r\n", "\n")) for r in got) == [(i, (t or "").replace("\r\n", "\n")) for i, t in rows]
+
+
+def test_shards_of_any_key(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from lakemill.operators.sharding import hash_shard
+
+    df = spark.createDataFrame([(-1, "a", 1.5, datetime.date(2024, 1, 1)), (7, "b", 2.5, None), (None, None, None, None)], "i int, s string, d double, t date")
+    got = df.select(*(hash_shard(F.col(c), 4).alias(c) for c in df.columns)).collect()
+    assert [r.i for r in got] == [3, 3, 0] and all(0 <= v < 4 for r in got for v in r) and got[2].s == 0
