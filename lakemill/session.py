@@ -195,18 +195,20 @@ class Engine:
     def fetch(self, sql: str, params: dict[str, Any] | list[Any] | None = None, timeout: float | None = None, max_rows: int | None = None, tag: str | None = None) -> list[tuple]:
         """A query's rows, ``max_rows`` at most. EngineError if it takes more than ``timeout`` seconds, or if cancel() is
         called with its ``tag``."""
-        tag, stopped = tag or f"lakemill-{uuid.uuid4().hex}", threading.Event()
+        tag, stopped, done = tag or f"lakemill-{uuid.uuid4().hex}", threading.Event(), threading.Event()
         sc = self.spark.sparkContext
 
-        def stop() -> None:
+        def watch() -> None:
+            if done.wait(timeout):
+                return
             stopped.set()
-            sc.cancelJobsWithTag(tag)
+            while not done.wait(0.2):  # a query is several jobs, and the next may only begin now
+                sc.cancelJobsWithTag(tag)
 
-        timer = threading.Timer(timeout, stop) if timeout is not None else None
         sc.addJobTag(tag)
         try:
-            if timer:
-                timer.start()
+            if timeout is not None:
+                threading.Thread(target=watch, daemon=True).start()
             df = self.execute(sql, params).df
             return [tuple(r) for r in (df if max_rows is None else df.limit(max_rows)).collect()]
         except Exception as e:
@@ -216,8 +218,7 @@ class Engine:
                 raise EngineError("the query was cancelled") from e
             raise
         finally:
-            if timer:
-                timer.cancel()
+            done.set()
             sc.removeJobTag(tag)
 
     def cancel(self, tag: str) -> None:
