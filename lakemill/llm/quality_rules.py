@@ -6,6 +6,8 @@ removed, and a document that loses too much of its text is rejected. Document-wi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,28 +26,38 @@ BOILERPLATE = (
     "skip to content",
     "sign up for our newsletter",
 )
-SPLIT = "[\\x20\\x09-\\x0D]+"
+SPACES = "\t\n\x0b\x0c\r"
+WORD = "[^\\x20\\x09-\\x0D]+"
+SEPARATOR = "|>»·•"
 TERMINAL = ".!?:;,…\"'”’»)]"
 
 
-def line_fails(line: Column) -> Column:
+def count(text: Column, pattern: str) -> Column:
+    """Matches of a regular expression."""
+    return F.regexp_count(text, F.lit(pattern))
+
+
+def line_fails(line: Column, symbols: Column | None = None, separators: Column | None = None, phrases: Column | None = None) -> Column:
     """A line with words fails if any rule holds; a line without words never fails (it has no text to lose).
 
     * punctuation: twelve words or more with no punctuation mark anywhere in the line;
     * navigation: three or more of | > » · • standing alone, at least one for every five words;
     * symbols: over a tenth of its characters are in ``#*$%&|<>``;
-    * capitals: five words or more, nine tenths of the letters of the line changed by lower-casing;
+    * capitals: five words or more, no lower-case letter, and two capitals in a row somewhere;
     * boilerplate: it contains one of ``BOILERPLATE``.
+
+    ``symbols``, ``separators``, ``phrases``: whether the document has any of these at all, where that is known; the
+    rule isn't tried if not. Each rule tries first what most lines fail to meet within a few characters.
     """
-    n_words = F.size(F.split(F.trim(F.translate(line, "\t\n\x0b\x0c\r", "     ")), " +"))
-    n_chars = F.length(line)
-    n_marks = n_chars - F.length(F.translate(line, SYMBOLS, ""))
-    no_punctuation = (n_words >= 12) & ~line.rlike("[" + TERMINAL.replace("]", "\\]") + "]")
-    n_separators = F.size(F.split(line, "(?<=^|\\s)[|>»·•](?=\\s|$)")) - 1
+    known = lambda c, rule: rule if c is None else c & rule
+    n_words = count(line, WORD)
+    no_punctuation = ~line.rlike("[" + TERMINAL.replace("]", "\\]") + "]") & (n_words >= 12)
+    n_separators = count(line, f"(?<=^|\\s)[{SEPARATOR}](?=\\s|$)")
     navigation = (n_separators >= 3) & (n_separators * 5 >= n_words)
-    capitals = (n_words >= 5) & line.rlike("^[^\\p{Ll}]*$") & line.rlike("\\p{Lu}{2}")
+    capitals = line.rlike("^[^\\p{Ll}]*$") & line.rlike("\\p{Lu}{2}") & (n_words >= 5)
     boilerplate = line.rlike("(?i)" + "|".join(BOILERPLATE))
-    return (n_marks * 10 > n_chars) | capitals | navigation | no_punctuation | boilerplate
+    marked = count(line, f"[{SYMBOLS}]") * 10 > F.length(line)
+    return no_punctuation | capitals | known(symbols, marked) | known(separators, navigation) | known(phrases, boilerplate)
 
 
 def _fixed(df: DataFrame, names: list[str], drop: list[str]) -> DataFrame:
@@ -62,13 +74,17 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     white space); n_repeat_words counts words in 8-word windows that occur at least twice in the text.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    step = docs.withColumn("_words", F.array_remove(F.split(t, SPLIT), ""))
+    spaced = t
+    for c in SPACES:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    # One plain character to split at needs no regular expression.
+    step = docs.withColumn("_words", F.array_remove(F.split(spaced, " "), ""))
     step = step.withColumn("_lines", F.filter(F.split(t, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")))
     step = step.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.length(F.concat_ws("", "_words")).cast("long"),
-            "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+            "n_symbols": count(t, f"[{SYMBOLS}]").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             # Hash of each word first: a window is then eight longs instead of eight strings.
             "_hashes": F.when(F.size("_words") >= 9, F.transform("_words", lambda w: F.xxhash64(w))),
@@ -94,16 +110,21 @@ def clean_lines(docs: DataFrame, text: str = "text", most_lost: float = 0.5) ->
     are replaced.
     """
     step = with_counts(docs, text)
-    length = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda acc, line: acc + F.length(line))
-    step = step.withColumn("_failed", F.filter("_lines", line_fails))
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    lower = F.lower(t)
+    has = {"_symbols": F.col("n_symbols") > 0, "_separators": count(t, f"[{SEPARATOR}]") >= 3, "_phrases": reduce(Column.__or__, (F.contains(lower, F.lit(p)) for p in BOILERPLATE))}
+    step = _fixed(step.withColumns(has), list(has), [])  # or they would be computed anew for each line
+    step = step.withColumn("_fails", F.transform("_lines", lambda line: line_fails(line, *map(F.col, has))))
+    step = step.withColumn("n_failed_lines", F.size(F.filter("_fails", lambda x: x)).cast("long"))
+    some = F.col("n_failed_lines") > 0
+    chars = lambda lines: F.length(F.concat_ws("", lines)).cast("long")
     step = step.withColumns(
         {
             "n_lines": F.size("_lines").cast("long"),
-            "n_failed_lines": F.size("_failed").cast("long"),
-            "line_chars": length(F.col("_lines")),
-            "lost_chars": length(F.col("_failed")),
-            "clean_text": F.when(F.size("_failed") == 0, F.concat_ws("\n", "_lines")).otherwise(F.concat_ws("\n", F.filter("_lines", lambda line: ~line_fails(line)))),
+            "line_chars": chars(F.col("_lines")),
+            "lost_chars": F.when(some, chars(F.filter("_lines", lambda _, i: F.get("_fails", i)))).otherwise(F.lit(0).cast("long")),
+            "clean_text": F.concat_ws("\n", F.when(some, F.filter("_lines", lambda _, i: ~F.get("_fails", i))).otherwise(F.col("_lines"))),
         }
     )
     step = step.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= most_lost * F.col("line_chars")))
-    return _fixed(step, ["n_lines", "n_failed_lines", "line_chars", "lost_chars", "clean_text", "kept"], ["_lines", "_failed"])
+    return _fixed(step, ["n_lines", "n_failed_lines", "line_chars", "lost_chars", "clean_text", "kept"], ["_lines", "_fails", *has])
