@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from lakemill.llm.common import durable, partitions, prepare, slices
 
 #: Levels, all of which enter the sketch at every length of text, so that the sketches of any two texts compare the
-#: same kinds of phrases: of about 6, 15, 37 and 90 bytes, and more.
-LEVELS = 5
+#: same kinds of phrases: of about 6, 15, 37 and 90 bytes. A level more would be a hundredth of a long text's names, and
+#: of a short text's a single one that any edit changes.
+LEVELS = 4
 #: Names in a sketch, four bytes each.
 SKETCH = 64
 U = np.uint64
