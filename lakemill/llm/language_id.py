@@ -152,7 +152,7 @@ def train(docs: DataFrame, per_language: int = 400, most_rows: int = 8192, landm
     each = min(per_language, max(1, most_rows // max(len(counts), 1)))
     spare = each + 4 * each**0.5 + 4
     rates = docs.sparkSession.createDataFrame([(r["lang"], spare / r["count"]) for r in counts], "lang string, _rate double")
-    drawn = labelled.withColumn("lang", F.col("lang").cast("string")).join(rates, "lang").where(draw < F.col("_rate"))
+    drawn = labelled.withColumn("lang", F.col("lang").cast("string")).join(F.broadcast(rates), "lang").where(draw < F.col("_rate"))  # at most ``most_rows`` rates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
