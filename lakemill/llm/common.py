@@ -121,10 +121,6 @@ def scratch(spark: SparkSession, name: str) -> Iterator[None]:
         _NOTED.reset(token)
 
 
-def drop_scratch(spark: SparkSession | None = None) -> None:
-    """Nothing; kept until its callers use scratch()."""
-
-
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of a text column, null as the empty text."""
     return [x or "" for x in column.to_pylist()]

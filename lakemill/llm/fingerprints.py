@@ -184,10 +184,10 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     Edited: the last quarter of the code points (rounded down) replaced by the first as many of the next document
     by id, the first document being next to the last; one document alone is its own next. Documents of one id
-    follow each other in order of text, null ids come first, null texts are empty. Equal texts have equal
+    follow each other in order of a hash of their text (then of the text), null ids come first, null texts are empty. Equal texts have equal
     fingerprints; a text without names (empty) has a fingerprint of padding only, like all other such.
 
-    One range shuffle puts the documents in order. Each part does its own pairs and hands on its first and last
+    One range shuffle puts the documents in order, those of one id (null ids, say) in as many parts as any. Each part does its own pairs and hands on its first and last
     document, of which the second step makes the pairs across parts: two rows a part, whatever the input.
     """
     edges = "part int, edge string, edge_id long, edge_text string"
@@ -229,7 +229,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.withColumn("_hash", F.xxhash64("text")).repartitionByRange(partitions(spark), "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text").drop("_hash")
     found = durable(ordered.mapInArrow(run, f"{FINGERPRINTED}, {edges}"), "fingerprints")
     last, first = (found.where(F.col("edge") == k) for k in ("last", "first"))
     parts = sorted(r["part"] for r in last.select("part").collect())  # one number a part

@@ -120,6 +120,12 @@ def test_against_plain_code(documents):
     assert {r.doc_id: (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got} == want
 
 
+def test_many_rows_of_one_id_are_dealt_out(spark):
+    docs = spark.createDataFrame([(None, f"text number {i} of them all") for i in range(2000)], "doc_id long, text string")
+    got = f.with_next(docs)
+    assert got.count() == 2000 and got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).filter(lambda n: n > 20).count() > 4
+
+
 def test_awkward_rows(documents, clashing, empty):
     assert f.with_next(documents).count() == documents.count()
     assert f.with_next(clashing).columns[0] == "doc_id" and f.with_next(empty).count() == 0
