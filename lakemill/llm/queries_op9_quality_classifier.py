@@ -11,5 +11,5 @@ from lakemill.llm.quality_classifier import score, train
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
-    model = train(docs, read(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out(F.col("doc_id"))))
+    model = train(docs.where(~held_out(F.col("doc_id"))), read(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out(F.col("doc_id"))))
     return score(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model).drop("text")
